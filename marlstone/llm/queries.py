@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import quality_rules
+from marlstone.llm import mixing, quality_rules, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,19 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   n_repeat_words::BIGINT AS n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed::INT AS failed FROM f
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_quality_rules": op7_quality_rules}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_docs(spark, sf_dir), carry=False).select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read(token_files.write(_docs(spark, sf_dir), token_files.new_folder(spark)))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_quality_rules": op7_quality_rules,
+    "op9_mixing": op9_mixing,
+    "op10_token_files": op10_token_files,
+}
 ORACLES: dict[str, str] = {"op7_quality_rules": OP7_SQL}
 
 
