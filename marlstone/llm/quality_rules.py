@@ -53,8 +53,8 @@ POLICIES = {
 }
 
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All measures and ``failed`` (a bit a rule) beside the columns of ``docs``.
+def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """All measures and ``failed`` (a bit a rule) beside the columns of ``docs`` (or those in ``keep``).
 
     Rows are dealt once by a row number of their own, so a hot source or key is no hot task; every later step stays in
     that partitioning: words are exploded with the two words after them, windows of a row are counted by fingerprint
@@ -63,15 +63,16 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     clash = [c for c in docs.columns if c in MEASURES or c == "failed"]
     docs = docs.drop(*clash)
-    t = F.coalesce(F.col(text), F.lit(""))
+    keep = [c for c in docs.columns if keep is None or c in keep]
     bare = F.col("_t")
     for ch in SYMBOLS:
         bare = F.replace(bare, F.lit(ch))
-    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct(*docs.columns).alias("_row"), t.alias("_t")).repartition("_rid")
+    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct(*[c for c in keep if c != text]).alias("_row") if keep != [text] else F.struct(F.lit(0)).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_t"), F.col(text).isNull().alias("_none")).repartition("_rid")
     ln = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = rows.select("_rid", "_row", "_t", ln.alias("_l"), F.split(F.trim(F.col("_t"), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+").alias("_w"))
+    rows = rows.select("_rid", "_row", "_t", "_none", ln.alias("_l"), F.split(F.trim(F.col("_t"), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+").alias("_w"))
     own = F.struct(
         F.col("_row").alias("row"),
+        *([F.when(~F.col("_none"), F.col("_t")).alias("text")] if text in keep else []),
         (F.length("_t") - F.length(bare)).cast("long").alias("n_symbols"),
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
@@ -101,7 +102,7 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
         F.count_if(F.col("_kind").isin(1, 3)).alias("n_capital_words"),
         F.count_if(F.col("_len") > 40).alias("n_long_words"),
     )
-    out = book.select(*[F.col("_own.row")[c].alias(c) for c in docs.columns], *[F.col(f"_own.{m}").alias(m) if m in ("n_symbols", "n_lines", "n_dup_lines", "n_chars_all") else F.col(m) for m in MEASURES])
+    out = book.select(*[(F.col("_own.text") if c == text else F.col("_own.row")[c]).alias(c) for c in keep], *[F.col(f"_own.{m}").alias(m) if m in ("n_symbols", "n_lines", "n_dup_lines", "n_chars_all") else F.col(m) for m in MEASURES])
     bits = [F.when(cond, F.lit(1 << i)).otherwise(0) for i, (_, cond) in enumerate(_rules())]
     mask = bits[0]
     for b in bits[1:]:

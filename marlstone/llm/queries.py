@@ -15,7 +15,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality_rules.apply_policy(quality_rules.ledger(_docs(spark, sf_dir).select("doc_id", "text")), "v1")
+    book = quality_rules.apply_policy(quality_rules.ledger(_docs(spark, sf_dir), keep=("doc_id",)), "v1")
     failed_base = F.col("failed").bitwiseAND(F.lit(quality_rules.BASE_MASK)) != 0
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed_base.alias("base_failed"), "kept", "failed")
 
