@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import mixing, ngram_join, quality_rules, token_files
+import corpus_pipeline
+from marlstone.llm import decontaminate, mixing, ngram_join, quality_rules, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.scan(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.apply_policy(quality_rules.ledger(_docs(spark, sf_dir), keep=("doc_id",)), "v1")
     failed_base = F.col("failed").bitwiseAND(F.lit(quality_rules.BASE_MASK)) != 0
@@ -54,11 +59,17 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(_docs(spark, sf_dir), token_files.new_folder(spark)))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
     "op7_quality_rules": op7_quality_rules,
     "op8_ngram_join": op8_ngram_join,
     "op9_mixing": op9_mixing,
     "op10_token_files": op10_token_files,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {"op7_quality_rules": OP7_SQL}
 
