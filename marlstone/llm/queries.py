@@ -8,17 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marlstone.llm import decontaminate, mixing, ngram_join, quality_rules, token_files
+from marlstone.llm import decontaminate, language_id, mixing, ngram_join, quality_classifier, quality_rules, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return language_id.predict(docs, language_id.train(docs))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return quality_classifier.score(docs, quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.apply_policy(quality_rules.ledger(_docs(spark, sf_dir), keep=("doc_id",)), "v1")
     failed_base = F.col("failed").bitwiseAND(F.lit(quality_rules.BASE_MASK)) != 0
@@ -64,7 +74,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
     "op8_ngram_join": op8_ngram_join,
     "op9_mixing": op9_mixing,
