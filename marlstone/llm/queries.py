@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marlstone.llm import decontaminate, language_id, mixing, ngram_join, quality_classifier, quality_rules, token_files
+from marlstone.llm import byte_model, decontaminate, html_extract, language_id, mixing, ngram_join, quality_classifier, quality_rules, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,18 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(_docs(spark, sf_dir))
+
+
+def op5_byte_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_model.score(_docs(spark, sf_dir))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     return quality_classifier.score(docs, quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -76,6 +88,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
+    "op3_html_extract": op3_html_extract,
+    "op4_repeats": op4_repeats,
+    "op5_byte_model": op5_byte_model,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
     "op8_ngram_join": op8_ngram_join,
