@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marlstone.llm import byte_model, decontaminate, html_extract, language_id, mixing, ngram_join, quality_classifier, quality_rules, token_files
+from marlstone.llm import byte_model, decontaminate, html_extract, language_id, mixing, ngram_join, quality_classifier, quality_rules, repeats, token_files
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_html_extract": op3_html_extract,
     "op4_repeats": op4_repeats,
+    "op4_repeats": op4_repeats,
     "op5_byte_model": op5_byte_model,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
