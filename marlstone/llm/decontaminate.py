@@ -33,7 +33,7 @@ from marlstone.llm.common import Fingerprints, flat, portions, small_batches
 
 K1, B = 1.5, 0.75
 THRESHOLD, OVERLAP, RUN, MIN_WORDS = 0.5, 0.5, 3, 8
-BLOCK = 8
+BLOCK = 4
 COMMON_SHARE = 0.2
 MAX_INDEX_BYTES = 32 << 20
 
@@ -121,6 +121,12 @@ class Index:
                 break
             rest, self.common[j] = more, True
         self.slack = float(rest.max()) if len(words) else 0.0
+        self.block_slack = np.array([rest[k : k + BLOCK].max() for k in range(0, len(words), BLOCK)] or [0.0])
+        # a term's blocks and their maxima, one after the other
+        at = [np.flatnonzero(b) for b in self.block_bound]
+        self.block_start = np.cumsum([0, *(len(x) for x in at)])
+        self.blocks = np.concatenate(at) if at else np.zeros(0, np.int64)
+        self.block_max = np.concatenate([b[x] for b, x in zip(self.block_bound, at, strict=True)]).astype(np.float64) if at else np.zeros(0)
         by = sorted(self.terms.items(), key=lambda x: x[1])
         joined = b"".join(t for t, _ in by)
         ends = np.cumsum([0, *(len(t) for t, _ in by)])
@@ -128,10 +134,15 @@ class Index:
         order = np.argsort(keys)
         self.keys, self.key_terms = keys[order], order
 
-    def wand(self, present: np.ndarray) -> list[tuple[int, float]]:
-        """All items whose score by the present terms reaches the threshold."""
+    def wand(self, present: np.ndarray, first: int = 0, end: int | None = None) -> list[tuple[int, float]]:
+        """All items (from first, before end) whose score by the present terms reaches the threshold."""
         need = self.threshold - 1e-9
-        cur = [[int(self.items[t][0]), 0, int(t)] for t in present]
+        end = len(self.ids) if end is None else end
+        cur = []
+        for t in present:
+            at = bisect_left(self.items[t], first)
+            if at < len(self.items[t]) and self.items[t][at] < end:
+                cur.append([int(self.items[t][at]), at, int(t)])
         found = []
         while cur:
             cur.sort()
@@ -167,6 +178,8 @@ class Index:
                     if at >= len(self.items[t]):
                         continue
                     i = int(self.items[t][at])
+                    if i >= end:
+                        continue
                 moved.append([i, at, t])
             cur = moved
         return found
@@ -198,19 +211,22 @@ class Index:
         window, terms = key // len(self.bound), key % len(self.bound)
         lone = np.add.reduceat(self.bound[terms], cut := np.flatnonzero(np.diff(window, prepend=-1))) if len(key) else np.zeros(0)
         live = np.flatnonzero(lone + self.slack >= self.threshold - 1e-6) if len(key) else []
-        stops = np.append(cut, len(key)) if len(key) else []
         out: dict[tuple[int, int], list] = {}
-        for g in live:
-            a, b = stops[g], stops[g + 1]
-            if self.block_bound[terms[a:b]].sum(0).max() + self.slack < self.threshold - 1e-6:
-                continue
-            w = int(window[a])
+        # block bounds of the passages that are left: the blocks of their terms, added up
+        pair = np.repeat(np.isin(np.arange(len(cut)), live), np.diff(np.append(cut, len(key)))) if len(key) else np.zeros(0, bool)
+        window, terms = window[pair], terms[pair]
+        many = self.block_start[terms + 1] - self.block_start[terms]
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.block_start[terms], many)
+        cell, which = np.unique(np.repeat(window, many) * len(self.block_slack) + self.blocks[at], return_inverse=True)
+        bound = np.bincount(which, self.block_max[at], len(cell)) + self.block_slack[cell % len(self.block_slack)]
+        for c in cell[bound >= self.threshold - 1e-6].tolist():
+            w, block = divmod(c, len(self.block_slack))
             r = int(np.searchsorted(base, w, "right")) - 1
             lo = int(first[r]) + (w - int(base[r])) * step
             hi = min(lo + 2 * step, int(first[r + 1]))
             i, j = np.searchsorted(place, [lo, hi])
             runs = None
-            for item, score in self.wand(np.unique(term[i:j])):
+            for item, score in self.wand(np.unique(term[i:j]), block * BLOCK, (block + 1) * BLOCK):
                 if runs is None:
                     w_ = [buf[x:y].tobytes() for x, y in zip(start[lo:hi], end[lo:hi], strict=True)]
                     runs = {n: {tuple(w_[k : k + n]) for k in range(len(w_) - n + 1)} for n in range(1, RUN + 1)}
