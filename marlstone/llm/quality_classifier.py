@@ -99,7 +99,7 @@ class Ranker:
         if not self.fitted:
             return np.full(len(x), 0.5)
         s = self._prepare(x) @ self.w - self.cut
-        return 1 / (1 + np.exp(-np.clip(s + np.log(CUT / (1 - CUT)), -30, 30)))
+        return np.round(1 / (1 + np.exp(-np.clip(s + np.log(CUT / (1 - CUT)), -30, 30))), 12)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = FOLDS, rest: int = 0) -> Column:
