@@ -17,9 +17,12 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones stays, the one of the least id."""
-    stay = ngram_join.similar(docs).where("doc_id = group_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group of similar ones stays, the one of the least id. A document without an id stands
+    behind those that have one, under a key made from its text."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", "source", "lang").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
+    keyed = docs.withColumn("_key", key)
+    stay = ngram_join.similar(keyed.select(F.col("_key").alias("doc_id"), "text")).where("doc_id = group_id").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def clean_of_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
