@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.sources.scratch import shared
+
 MAX_STEPS = 64
 
 
@@ -120,10 +122,7 @@ def pagerank(edges: DataFrame, reset: DataFrame, damping: float = 0.5, rounds: i
 
         return both.withColumn("g", F.lit(1)).groupBy("g").applyInArrow(run, "node string, score double")
     spark: SparkSession = edges.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    shared(spark)
     e = edges.select("src", "dst", (1.0 / F.count(F.lit(1)).over(_by("src"))).alias("w"))
     dead = r.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti").select("node")
     p = r.select("node", F.col("reset").alias("score"))

@@ -1,7 +1,5 @@
 """Decision graphs, knowledge graphs and event streams."""
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +7,7 @@ from marlstone.operators import graph as G
 from marlstone.operators import plugins as P
 from marlstone.operators import resolve as R
 from marlstone.plans.base import table
+from marlstone.sources.scratch import folder
 from marlstone.streaming import events as S
 
 c = F.col
@@ -109,7 +108,7 @@ def _out(df):
 
 def event_windows(spark, sf):
     """The stream's closed windows; the oracle is the batch twin up to the watermark."""
-    return _out(S.drain(S.windowed(_read(spark, sf)), tempfile.mkdtemp()))
+    return _out(S.drain(S.windowed(_read(spark, sf)), folder(spark, "stream")))
 
 
 def event_windows_batch(spark, sf):
@@ -124,11 +123,11 @@ def event_sessions(spark, sf):
 
 def episodic_memory(spark, sf):
     s = _read(spark, sf).select(c("user_id").alias("case"), c("event_id").alias("pos"), c("event_type").alias("node_id"), F.concat(F.lit("a"), (c("event_id") % 3).cast("string")).alias("answer"))
-    return S.drain(S.episodic(s), tempfile.mkdtemp()).select("case", "pos", "context")
+    return S.drain(S.episodic(s), folder(spark, "stream")).select("case", "pos", "context")
 
 
 def resume_append(spark, sf):
-    root = tempfile.mkdtemp()
+    root = folder(spark, "append")
     for _ in range(2):  # the second run finds nothing new
         S.append_resumable(_read(spark, sf).select("event_id", "event_type"), f"{root}/out", f"{root}/checkpoint")
     return spark.read.schema("event_id long, event_type string").json(f"{root}/out")
