@@ -92,14 +92,14 @@ def split_tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
 def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, levels: int = 4, seed: int = 17, carry: bool = True) -> DataFrame:
     """The rows of ``docs`` with size, source_size, target, taken (words, repeats counted), copies and the shards of
     the copies. Needs doc_id and source; without ``carry`` only those columns are returned and no text is shuffled."""
-    kept = [c for c in docs.columns if c not in ADDED]
+    kept = [c for c in docs.columns if c not in (*ADDED, "_mix_key")]
     key = F.xxhash64("doc_id", "source", text)
-    docs = docs.select(*kept, F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"), key.alias("_key"))
+    docs = docs.select(*kept, F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"), key.alias("_mix_key"))
     # all decisions are made on a slim table, so that texts are read once more at most
-    units = stage(docs.groupBy("doc_id", "source", "_key", "size").agg(F.count(F.lit(1)).alias("n")), "mix-units")
+    units = stage(docs.groupBy("doc_id", "source", "_mix_key", "size").agg(F.count(F.lit(1)).alias("n")), "mix-units")
     goal = stage(targets(units, weights, cap).withColumn("blocks", F.least(F.lit(MAX_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("units") / BLOCK_DOCS))).cast("int")), "mix-targets")
     units = units.join(_small(goal), units["source"].eqNullSafe(goal["source"])).drop(goal["source"])
-    units = units.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_key"), F.col("blocks")).cast("int"))
+    units = units.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_mix_key"), F.col("blocks")).cast("int"))
 
     per = units.groupBy("sid", "block").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     per = per.withColumns({"passes": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"), "perm": F.xxhash64(F.lit(seed), F.lit(-1), "sid", "block")})
@@ -124,19 +124,19 @@ def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = (5, 2, 1
 
     # documents of a block that the target cuts: in hash order, as long as they fit
     cut = units.join(_small(per.where("extra = 'cut'").select("sid", "block", "room")), ["sid", "block"])
-    cut = cut.groupBy("sid", "block").agg(F.first("room").alias("room"), F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed), F.lit(-2), "_key", "doc_id").alias("h"), F.col("_key"), F.col("doc_id"), (F.col("size") * F.col("n")).alias("w")))).alias("all"))
+    cut = cut.groupBy("sid", "block").agg(F.first("room").alias("room"), F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed), F.lit(-2), "_mix_key", "doc_id").alias("h"), F.col("_mix_key"), F.col("doc_id"), (F.col("size") * F.col("n")).alias("w")))).alias("all"))
     none = F.filter("all", lambda x: F.lit(False))
     fit = F.aggregate("all", F.struct(F.col("room").alias("room"), none.alias("in")), lambda a, x: F.when(x["w"] <= a["room"], F.struct((a["room"] - x["w"]).alias("room"), F.array_append(a["in"], x).alias("in"))).otherwise(a), lambda a: a["in"])
-    picks = cut.select(F.explode(fit).alias("p")).select(F.col("p._key").alias("_key"), F.col("p.doc_id").alias("doc_id"), F.lit(True).alias("_in"))
+    picks = cut.select(F.explode(fit).alias("p")).select(F.col("p._mix_key").alias("_mix_key"), F.col("p.doc_id").alias("doc_id"), F.lit(True).alias("_in"))
 
     pick = _small(stage(picks, "mix-picks"))
     units = units.join(_small(stage(by_block, "mix-draws")), ["sid", "block"], "left")
-    units = units.join(pick, units["doc_id"].eqNullSafe(pick["doc_id"]) & units["_key"].eqNullSafe(pick["_key"]), "left").drop(pick["doc_id"]).drop(pick["_key"])
+    units = units.join(pick, units["doc_id"].eqNullSafe(pick["doc_id"]) & units["_mix_key"].eqNullSafe(pick["_mix_key"]), "left").drop(pick["doc_id"]).drop(pick["_mix_key"])
     shards = F.concat(F.coalesce("whole", F.array().cast("array<int>")), F.when(F.col("_in"), F.array("cut_shard")).otherwise(F.array().cast("array<int>")))
     units = units.withColumn("shards", shards).withColumn("copies", F.size("shards"))
-    decided = units.select("doc_id", "_key", "source", "size", "n", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "shards")
+    decided = units.select("doc_id", "_mix_key", "source", "size", "n", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "shards")
     if not carry:  # equal rows are unfolded again
         return decided.select("doc_id", "source", *ADDED, F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("_i")).drop("_i")
     d, u = docs.alias("d"), decided.drop("source", "size", "n").alias("u")
-    out = d.join(u, F.col("d.doc_id").eqNullSafe(F.col("u.doc_id")) & (F.col("d._key") == F.col("u._key")))
+    out = d.join(u, F.col("d.doc_id").eqNullSafe(F.col("u.doc_id")) & (F.col("d._mix_key") == F.col("u._mix_key")))
     return out.select(*[F.col(f"d.{c}") for c in kept], "d.size", *[F.col(f"u.{c}") for c in ADDED[1:]])

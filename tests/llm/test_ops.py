@@ -250,6 +250,14 @@ def test_mixing_reaches_targets_and_reruns_agree(spark):
     assert {r.text for r in again} == set(texts)
 
 
+def test_extra_columns_with_clashing_names_are_harmless(spark):
+    names = ("n", "block", "size", "target", "key", "bands", "rid", "marks", "held_out", "score", "window", "_row", "failed", "n_words", "part", "kept", "c1")
+    df = frame(spark, ["a b c " * 30, "a b c " * 30, None]).select("*", *[F.lit("clash").alias(n) for n in names])
+    ids = [0, 1, 2]
+    for out in (mixing.mix(df), mixing.mix(df, carry=False), quality_rules.apply_policy(quality_rules.ledger(df)), ngram_join.similar(df), repeats.digest(df), language_id.predict(df, language_id.BiGRU(["x"])), quality_classifier.score(df, quality_classifier.Ranker(np.zeros((0, quality_classifier.WIDTH)), np.zeros(0)))):
+        assert sorted(r.doc_id for r in out.collect()) == ids
+
+
 def test_splits_keep_exact_quotas(spark):
     q = spark.createDataFrame([(1, 13), (2, 0), (3, 40)], "sid int, n long")
     rows = mixing.split_tree(q, 3, 5).collect()
