@@ -32,9 +32,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import LOWER, Fingerprints, flat, portions, stage, words_of
+from marlstone.llm.common import LOWER, Fingerprints, flat, portions, release, stage, words_of
 
-DEPTH, BLOCK_BYTES, FOLDS = 5, 16 << 20, 10
+DEPTH, BLOCK_BYTES, PORTION, FOLDS = 5, 16 << 20, 1_000_000, 10
 WORD_BITS = 56
 _HALF = np.log(0.5)
 
@@ -113,7 +113,7 @@ def _requests(table: pa.Table, parts: int) -> pa.Table:
     buf, off = flat(table.column("text"))
     train_rows = table.num_rows - pc.sum(table.column("held_out").cast(pa.int64())).as_py()
     found: tuple[list, list] = ([], [])
-    for i, j in portions(off):
+    for i, j in portions(off, PORTION):
         b, o = LOWER[buf[off[i] : off[j]]], off[i : j + 1] - off[i]
         t = min(max(train_rows - i, 0), j - i)
         w, first = _words(b, o)
@@ -313,7 +313,7 @@ def _score(docs: pa.Table, answers: pa.Table, parts: int, vocabulary: int, total
         got[r["kind"]].append(_unpack(r["answer"], r["n"], False).astype(np.int64) if r["kind"] == 0 else np.frombuffer(r["answer"], np.float32))
     buf, off = flat(docs.column("text"))
     found: tuple[list, list] = ([], [])
-    for i, j in portions(off):
+    for i, j in portions(off, PORTION):
         b, o = LOWER[buf[off[i] : off[j]]], off[i : j + 1] - off[i]
         found[0].append(_distinct(_words(b, o)[0], 0))
         found[1].append(_distinct(_strings(b, o), 0))
@@ -329,7 +329,7 @@ def _score(docs: pa.Table, answers: pa.Table, parts: int, vocabulary: int, total
     scale = np.log10(total + 0.1 * (vocabulary + 1))
     out: list[list[np.ndarray]] = [[], [], [], []]
     end_log = np.log10(ends + 0.1) - scale
-    for i, j in portions(off):
+    for i, j in portions(off, PORTION):
         b, o = LOWER[buf[off[i] : off[j]]], off[i : j + 1] - off[i]
         rows = j - i
         w, first = _words(b, o)
@@ -359,6 +359,7 @@ def score(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -
     blocked = slim.withColumn("block", F.pmod(F.xxhash64(F.lit(5), "doc_id", F.substring("text", 1, 32)), F.lit(parts)))
 
     def requests(table: pa.Table) -> pa.Table:
+        release()  # of the block before
         return _requests(table, parts)
 
     def add_words(table: pa.Table) -> pa.Table:
@@ -382,6 +383,7 @@ def score(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -
         return _answer_strings(left, right, tops)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         return _score(left, right, parts, vocabulary, total, ends)
 
     answers = words.where("block >= 0").union(strings.groupBy("part").cogroup(model.groupBy("part")).applyInArrow(answer, _ANSWER))

@@ -36,6 +36,27 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def release() -> None:
+    """Hand freed memory back to the system: Python workers outlive their tasks and share an executor's limit."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(batches):
+    """A task's batches; its memory is released at the end."""
+    try:
+        yield from batches
+    finally:
+        release()
+
+
 # -- flat byte buffers -------------------------------------------------------
 
 _WS = np.zeros(256, bool)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import Fingerprints, flat, portions, small_batches
+from marlstone.llm.common import Fingerprints, flat, portions, small_batches, tidy
 
 K1, B = 1.5, 0.75
 THRESHOLD, OVERLAP, RUN, MIN_WORDS = 0.5, 0.5, 3, 8
@@ -279,7 +279,7 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", threshold: float
         shared = spark.sparkContext.broadcast(index)
 
         def task(batches, shared=shared):
-            yield from _scan(batches, shared.value)
+            yield from tidy(_scan(batches, shared.value))
 
         part = slim.mapInArrow(task, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, n_passages long")
         out = part if out is None else out.unionByName(part)
@@ -304,7 +304,7 @@ def remove(docs: DataFrame, items: DataFrame, text: str = "text", threshold: flo
         shared = spark.sparkContext.broadcast(index)
 
         def task(batches, shared=shared):
-            yield from _keep(batches, shared.value, at)
+            yield from tidy(_keep(batches, shared.value, at))
 
         docs = docs.mapInArrow(task, docs.schema)
     return docs

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import small_batches
+from marlstone.llm.common import small_batches, tidy
 
 #: HTML's own sets of element names.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -354,6 +354,6 @@ def extract(pages: DataFrame, model: Model | None = None, source: str = "html")
     shared = spark.sparkContext.broadcast(model or train())
 
     def task(batches):
-        yield from _extract(batches, shared.value)
+        yield from tidy(_extract(batches, shared.value))
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col(source).alias("html")).mapInArrow(task, "page_id long, url string, text string, n_chars long")

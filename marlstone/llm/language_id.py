@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import flat, small_batches
+from marlstone.llm.common import flat, small_batches, tidy
 
 HIDDEN, SEGMENT, PER_LANGUAGE, WINDOW, FOLDS = 8, 96, 1500, 192, 3
 UNKNOWN = "und"
@@ -233,6 +233,6 @@ def predict(docs: DataFrame, model: BiGRU, text: str = "text") -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def task(batches):
-        yield from _label(batches, shared.value)
+        yield from tidy(_label(batches, shared.value))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col(text).alias("text")).mapInArrow(task, "doc_id long, held_out boolean, lang_pred string, score double")

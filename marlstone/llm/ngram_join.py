@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import Fingerprints, flat, mix, portions, small_batches, stage, words_of
+from marlstone.llm.common import Fingerprints, flat, mix, portions, small_batches, stage, tidy, words_of
 from marlstone.llm.components import components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -185,7 +185,7 @@ def similar(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, r
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def sign(batches):
-        yield from _sign(batches, bands, rows)
+        yield from tidy(_sign(batches, bands, rows))
 
     signed = stage(slim.mapInArrow(sign, "doc_id long, c1 long, c2 long, n_shingles long, bands array<long>"), "signed")
     # texts without shingles are like nothing; each row stays alone

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import Fingerprints, flat, portions, small_batches, words_of
+from marlstone.llm.common import Fingerprints, flat, portions, small_batches, tidy, words_of
 
 MAX_TRAIN, PAIRS, CUT, FOLDS = 6000, 4096, 0.3, 5
 
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", most: int = MA
     small_batches(docs.sparkSession)
     rows = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1) & ~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
     known = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(rows), "doc_id").select(F.col("quality").cast("int").alias("quality"), "text")
-    got = known.mapInArrow(_features, "quality int, x binary").limit(2 * most).collect()
+    got = known.mapInArrow(lambda it: tidy(_features(it)), "quality int, x binary").limit(2 * most).collect()
     got.sort(key=lambda r: (r.quality, bytes(r.x)))
     x = np.frombuffer(b"".join(bytes(r.x) for r in got), np.float32).reshape(-1, WIDTH).astype(np.float64)
     return Ranker(x, np.array([r.quality for r in got]))
@@ -140,6 +140,6 @@ def score(docs: DataFrame, model: Ranker, text: str = "text") -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def task(batches):
-        yield from _score(batches, shared.value)
+        yield from tidy(_score(batches, shared.value))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col(text).alias("text")).mapInArrow(task, "doc_id long, held_out boolean, score double, predicted int")

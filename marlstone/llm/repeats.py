@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import Fingerprints, flat, mix, portions, small_batches, stage
+from marlstone.llm.common import Fingerprints, flat, mix, portions, small_batches, stage, tidy
 
 LENGTH, K = 200, 48
 HOT, BROADCAST_IDS, PIECE, CHUNK = 20_000, 4_000_000, 8 << 20, 3 << 20
@@ -100,7 +100,7 @@ class SuffixFamily:
 
     def _index(self, texts: DataFrame) -> DataFrame:
         small_batches(texts.sparkSession, 1024)
-        return texts.select(F.col(self.text).alias("text")).mapInArrow(_entries, "key long, run long, n long")
+        return texts.select(F.col(self.text).alias("text")).mapInArrow(lambda it: tidy(_entries(it)), "key long, run long, n long")
 
     @staticmethod
     def _merged(entries: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def marks(docs: DataFrame, batches: int = 2) -> DataFrame:
         wanted = spark.sparkContext.broadcast(np.sort(got.view(np.uint64)))
 
     def places(it):
-        yield from _places(it, wanted.value if wanted else None)
+        yield from tidy(_places(it, wanted.value if wanted else None))
 
     at = docs.select("rid", "text").mapInArrow(places, "rid long, low long, high long, key long, run long")
     at = stage(at.join(found, ["key", "run"]), "places")
@@ -277,12 +277,12 @@ def marks(docs: DataFrame, batches: int = 2) -> DataFrame:
     one = at.where("runs > 1").groupBy("key", "run").agg(F.first("n").alias("n"), F.first("runs").alias("runs"), F.min(F.struct("rid", "low", "high")).alias("p"))
     lists = stage(one.groupBy(F.col("p.rid").alias("rid")).agg(F.collect_list(F.struct("key", "n", "runs", F.col("p.low").alias("low"), F.col("p.high").alias("high"))).alias("wanted")), "wanted")
     texts = docs.join(_side(lists.select("rid")), "rid", "left_semi").dropDuplicates(["rid"])
-    texts = texts.join(lists, "rid").select("rid", "text", "wanted").mapInArrow(_stretches, "key long, n long, runs long, rid long, low long, bytes binary")
+    texts = texts.join(lists, "rid").select("rid", "text", "wanted").mapInArrow(lambda it: tidy(_stretches(it)), "key long, n long, runs long, rid long, low long, bytes binary")
     texts = stage(texts, "stretches")
-    ends = texts.where(F.col("runs") <= HOT).repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "rid long, start long, end long")
+    ends = texts.where(F.col("runs") <= HOT).repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: tidy(_compare(it)), "rid long, start long, end long")
     out = whole.union(ends)
     if not texts.where(F.col("runs") > HOT).isEmpty():
-        h = texts.where(F.col("runs") > HOT).mapInArrow(_hashes, "h long, n long, rid long, start long")
+        h = texts.where(F.col("runs") > HOT).mapInArrow(lambda it: tidy(_hashes(it)), "h long, n long, rid long, start long")
         twice = h.groupBy("h").agg(F.sum("n").alias("t")).where("t > 1").select("h")
         out = out.union(h.where("n = 1").join(twice, "h").select("rid", "start", (F.col("start") + LENGTH).alias("end")))
     return out
@@ -296,5 +296,5 @@ def digest(docs: DataFrame, text: str = "text", batches: int = 2) -> DataFrame:
     by = stage(marks(slim, batches).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("marks")), "marks")
     ids = _side(by.select("rid"))
     clean = slim.join(ids, "rid", "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.array().cast("array<long>").alias("spans"))
-    cut = slim.join(ids, "rid", "left_semi").join(by, "rid").select("doc_id", "text", "marks").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    cut = slim.join(ids, "rid", "left_semi").join(by, "rid").select("doc_id", "text", "marks").mapInArrow(lambda it: tidy(_cut(it)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
     return clean.unionByName(cut)

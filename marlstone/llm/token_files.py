@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import shared_dir, small_batches, stage
+from marlstone.llm.common import release, shared_dir, small_batches, stage, tidy
 from marlstone.llm.elias_fano import EliasFano
 
 _FOOT = struct.Struct("<QQQQqBB6s")  # ids, documents, null doc ids, bytes of boundaries, least doc id, bytes an id, version, mark
@@ -153,7 +153,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def task(batches):
-        yield from _write_shard(batches, folder, vocabulary, end_id)
+        yield from tidy(_write_shard(batches, folder, vocabulary, end_id))
 
     shards = stage(rows.mapInArrow(task, "shard long, path string, n_docs long, n_ids long"), "token-shards")
     before = F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
@@ -189,6 +189,8 @@ class Shard:
 
 
 def _read_shards(batches, portion: int):
+    _encoders.clear()  # what writing has cached is of no use from here on
+    release()
     for batch in batches:
         for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             s = Shard(path)
@@ -205,7 +207,7 @@ def read(shards: DataFrame, portion: int = 256) -> DataFrame:
     """From the files: a row a document with doc_id, start, n_tokens and ids_crc32."""
 
     def task(batches):
-        yield from _read_shards(batches, portion)
+        yield from tidy(_read_shards(batches, portion))
 
     n = shards.sparkSession.sparkContext.defaultParallelism
     return shards.select("path", "start").repartition(max(n, 8)).mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
