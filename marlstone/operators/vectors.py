@@ -65,6 +65,63 @@ def diverse(ranked: DataFrame, spacing: float, k: int, by: tuple[str, ...] = ("q
     return out.select(*by, (F.col("_i") + 1).alias("rank"), "r.id", "r.x", "r.y", "r.sim")
 
 
+def _numpy(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy(zero_copy_only=False)
+
+
+def _unit(table: pa.Table, name: str) -> np.ndarray:
+    m = np.stack(_numpy(table, name)).astype(np.float64)
+    return m / (np.linalg.norm(m, axis=1, keepdims=True) + V.EPS)
+
+
+def _best(asked: pa.Table, given: pa.Table, k: int, by: str | None, keep, columns: list[str]) -> pa.Table:
+    """The k best rows of a tile for each of its queries (and value of ``by``), ties by id."""
+    given = given.sort_by("id")
+    n, width = asked.num_rows, given.num_rows
+    sim = np.rint(_unit(asked, "query") @ _unit(given, "vec").T * 1e6).astype(np.int64) if n and width else np.zeros((n, width), np.int64)
+    key = sim * width + np.arange(width - 1, -1, -1)
+    least = np.iinfo(np.int64).min
+    if keep is not None and n and width:
+        key[~keep(asked, given)] = least
+    label = _numpy(given, by) if by else np.zeros(width, np.int64)
+    q, p = [], []
+    for v in np.unique(label):
+        at = np.flatnonzero(label == v)
+        part, some = key[:, at], min(k, len(at))
+        top = np.argpartition(part, len(at) - some, axis=1)[:, len(at) - some :]
+        i, j = np.nonzero(np.take_along_axis(part, top, axis=1) > least)
+        q.append(i)
+        p.append(at[top[i, j]])
+    q, p = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (q, p))
+    rows = given.take(pa.array(p))
+    return pa.table({"query_id": asked.column("query_id").take(pa.array(q))} | {c: rows.column(c) for c in columns} | {"sim": sim[q, p] / 1e6})
+
+
+def nearest(pool: DataFrame, queries: DataFrame, k: int, by: str | None = None, keep=None, block_rows: int = 2048) -> DataFrame:
+    """Top-k of many queries (query_id, query, ...) against all rows (id, vec, ...): blocks of both sides meet in
+    tiles, one matrix product a tile, and a tile keeps its k best a query. ``by`` is a pool column whose values are
+    ranked apart; ``keep(queries, rows)`` gives a tile's allowed pairs as a matrix."""
+    a, b = (max(1, -(-df.count() // block_rows)) for df in (pool, queries))
+    deal = lambda df, key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = pool.withColumn("_i", deal(pool, "id", a)).withColumn("_j", every(b))
+    asks = queries.withColumn("_j", deal(queries, "query_id", b)).withColumn("_i", every(a))
+    columns = [c for c in pool.columns if c != "vec"]
+    schema = ", ".join([f"query_id {queries.schema['query_id'].dataType.simpleString()}", *(f"`{c}` {pool.schema[c].dataType.simpleString()}" for c in columns), "sim double"])
+
+    def tile(asked: pa.Table, given: pa.Table) -> pa.Table:
+        return _best(asked, given, k, by, keep, columns)
+
+    found = asks.groupBy("_i", "_j").cogroup(rows.groupBy("_i", "_j")).applyInArrow(tile, schema)
+    return rank(found, ["query_id", by] if by else ["query_id"], k)
+
+
+def distances(asked: pa.Table, given: pa.Table) -> np.ndarray:
+    """Of a tile's queries (qx, qy) from its rows (x, y)."""
+    dx, dy = (_numpy(asked, f"q{v}")[:, None].astype(np.float64) - _numpy(given, v)[None, :] for v in ("x", "y"))
+    return np.sqrt(dx * dx + dy * dy)
+
+
 def _tile(table: pa.Table, threshold: float) -> pa.Table:
     side = table.column("side").to_numpy(zero_copy_only=False)
     ids = table.column("id").to_numpy()

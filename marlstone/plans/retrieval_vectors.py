@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import geometry as G
 from marlstone.operators import vectors as R
-from marlstone.plans.base import pool, table, vector_queries
+from marlstone.plans.base import every_vector, pool, table, vector_queries
 
 POOL = "p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label AS slide_id, (vec_id % 32) * 512 AS x, (vec_id // 32) * 512 AS y FROM embeddings), q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv, (vec_id % 32) * 512 AS qx, (vec_id // 32) * 512 AS qy FROM embeddings WHERE vec_id < 5)"
 COS = "round(list_inner_product(v, qv) / ((sqrt(list_inner_product(v, v)) + 1e-8) * (sqrt(list_inner_product(qv, qv)) + 1e-8)), 6)"
@@ -76,6 +76,40 @@ def diverse_topk(spark, sf):
     return R.diverse(s, 1024.0, 5)
 
 
+def cosine_topk_whole(spark, sf):
+    return R.nearest(pool(spark, sf), every_vector(spark, sf), 5).select("query_id", "id", "sim", "rank")
+
+
+def cosine_topk_per_label_whole(spark, sf):
+    return R.nearest(pool(spark, sf), every_vector(spark, sf), 3, by="slide_id").select("query_id", "slide_id", "id", "sim", "rank")
+
+
+def cosine_topk_excluding_whole(spark, sf):
+    def unseen(asked, given):
+        q, p = asked.column("query_id").to_numpy()[:, None], given.column("id").to_numpy()[None, :]
+        return (p != q) & (p != q + 10) & (p != 7)
+
+    return R.nearest(pool(spark, sf), every_vector(spark, sf), 5, keep=unseen).select("query_id", "id", "sim", "rank")
+
+
+def _away(spark, sf, least):
+    return R.nearest(pool(spark, sf), every_vector(spark, sf), 5, keep=lambda asked, given: R.distances(asked, given) >= least).select("query_id", "id", "sim", "rank")
+
+
+def anchor_min_distance_topk_whole(spark, sf):
+    return _away(spark, sf, 2048.0)
+
+
+def anchor_relax_topk_whole(spark, sf):
+    far = _away(spark, sf, 30000.0)
+    return far.union(_away(spark, sf, 15000.0).join(far.select("query_id").distinct(), "query_id", "left_anti"))
+
+
+def representative_pool_topk_whole(spark, sf):
+    p, reps = _centres(spark, sf)
+    return R.nearest(p.join(reps.select("id").distinct(), "id", "left_semi"), every_vector(spark, sf), 3).select("query_id", "id", "sim", "rank")
+
+
 def kmeans_sizes(spark, sf):
     got, _ = R.kmeans(pool(spark, sf), 8)
     return got.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
@@ -158,4 +192,6 @@ ORACLES = {
 }
 ORACLES["representative_pool_topk"] = f"WITH {SCORED}, r AS ({ORACLES['nearest_centroid']}) SELECT query_id, id, sim, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM s WHERE id IN (SELECT id FROM r)) WHERE rank <= 3"
 _NAMES = "cosine_topk cosine_topk_per_label cosine_topk_excluding anchor_min_distance_topk anchor_relax_topk representative_pool_topk similar_pairs mean_pool_by_label nearest_centroid diverse_topk kmeans_sizes tile_grid tissue_fraction stratified_sample encode_policy zoom_recentre parent_tiles grandparent_chain hsv_mask".split()
-QUERIES = {n: globals()[n] for n in _NAMES}
+#: Every vector as a query; the queries with SQL keep the few that their SQL names.
+WHOLE = "cosine_topk_whole cosine_topk_per_label_whole cosine_topk_excluding_whole anchor_min_distance_topk_whole anchor_relax_topk_whole representative_pool_topk_whole".split()
+QUERIES = {n: globals()[n] for n in [*_NAMES, *WHOLE]}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as T
 from marlstone.operators import retrieval as R
 from marlstone.operators import vectors as V
-from marlstone.plans.base import pool, table, vector_queries
+from marlstone.plans.base import every_vector, pool, table, vector_queries
 
 c = F.col
 OPTIONS = ("serous_carcinoma", "endometrioid carcinoma", "Clear-cell", "none_of_above")
@@ -69,12 +69,24 @@ def _docs(spark, sf):
     return table(spark, sf, "documents").select(c("doc_id").alias("id"), "text", "source", "lang")
 
 
+def _every_query(spark, sf):
+    return table(spark, sf, "benchmark").select(c("item_id").alias("query_id"), c("text").alias("query"))
+
+
 def _queries(spark, sf):
-    return table(spark, sf, "benchmark").where("item_id < 12").select(c("item_id").alias("query_id"), c("text").alias("query"))
+    return _every_query(spark, sf).where("query_id < 12")
+
+
+def _lexical(spark, sf, asked, k=20):
+    return R.ranked(R.bm25(_docs(spark, sf), asked), k=k)
 
 
 def bm25_topk(spark, sf):
-    return R.ranked(R.bm25(_docs(spark, sf), _queries(spark, sf)), k=5).select("query_id", "id", "score", "rank")
+    return _lexical(spark, sf, _queries(spark, sf), 5).select("query_id", "id", "score", "rank")
+
+
+def bm25_topk_whole(spark, sf):
+    return _lexical(spark, sf, _every_query(spark, sf), 5).select("query_id", "id", "score", "rank")
 
 
 def _dense(spark, sf):
@@ -82,9 +94,22 @@ def _dense(spark, sf):
     return V.rank(V.similarities(p, vector_queries(spark, sf)), ["query_id"], 20).select("query_id", "id", "rank")
 
 
+def _fused(spark, sf):
+    return R.fuse([(_dense(spark, sf), 0.65), (_lexical(spark, sf, _queries(spark, sf).where("query_id < 5")), 0.35)])
+
+
+def _fused_whole(spark, sf):
+    """Every item and every vector; a query that is only one of them has the ranks of that side."""
+    dense = V.nearest(pool(spark, sf), every_vector(spark, sf), 20).select("query_id", "id", "rank")
+    return R.fuse([(dense, 0.65), (_lexical(spark, sf, _every_query(spark, sf)), 0.35)])
+
+
 def rrf_fusion(spark, sf):
-    lex = R.ranked(R.bm25(_docs(spark, sf), _queries(spark, sf).where("query_id < 5")), k=20)
-    return R.fuse([(_dense(spark, sf), 0.65), (lex, 0.35)]).where("rank <= 10").select("query_id", "id", "score", "rank")
+    return _fused(spark, sf).where("rank <= 10").select("query_id", "id", "score", "rank")
+
+
+def rrf_fusion_whole(spark, sf):
+    return _fused_whole(spark, sf).where("rank <= 10").select("query_id", "id", "score", "rank")
 
 
 def leak_guard(spark, sf):
@@ -93,19 +118,33 @@ def leak_guard(spark, sf):
     return d.select("id", R.leaks(ex, c("source"), c("id").cast("string")).alias("leaks"), R.leaks_chain(c("id").cast("string"), c("source"), F.lit("12,55")).alias("chain"))
 
 
-def reference_rerank(spark, sf):
+def _reranked(spark, sf, asked):
     d = _docs(spark, sf).select("id", (c("source").isin("src0", "src4")).alias("is_reference"), (c("lang") == "fr").alias("node_match"))
-    hits = R.ranked(R.bm25(_docs(spark, sf), _queries(spark, sf)), k=20).join(d, "id").withColumn("prefer", c("query_id") % 2 == 0)
+    hits = _lexical(spark, sf, asked).join(d, "id").withColumn("prefer", c("query_id") % 2 == 0)
     return R.rerank(hits, R.depth_k(F.when(c("query_id") % 3 == 0, "5x").otherwise("20x"), F.lit(4))).select("query_id", "id", c("new_rank").alias("rank"))
 
 
-def hybrid_topk(spark, sf):
-    lex = R.ranked(R.bm25(_docs(spark, sf), _queries(spark, sf).where("query_id < 5")), k=20)
-    f = R.fuse([(_dense(spark, sf), 0.65), (lex, 0.35)])
+def reference_rerank(spark, sf):
+    return _reranked(spark, sf, _queries(spark, sf))
+
+
+def reference_rerank_whole(spark, sf):
+    return _reranked(spark, sf, _every_query(spark, sf))
+
+
+def _hybrid(spark, sf, f):
     d = _docs(spark, sf).select("id", "source", (c("source") == "src2").alias("is_reference"), F.lit(False).alias("node_match"))
     return R.rerank(f.join(d, "id").where(~R.leaks(F.lit("src1;src5"), c("source"))).withColumn("prefer", F.lit(True)), 5).select("query_id", "id", c("new_rank").alias("rank"))
 
 
+def hybrid_topk(spark, sf):
+    return _hybrid(spark, sf, _fused(spark, sf))
+
+
+def hybrid_topk_whole(spark, sf):
+    return _hybrid(spark, sf, _fused_whole(spark, sf))
+
+
 def corpus_fingerprint(spark, sf):
     return R.fingerprint(_docs(spark, sf), {"model": "none"}, buckets=16)
 
@@ -143,4 +182,6 @@ ORACLES = {
  k AS (SELECT doc_id, array_to_string(list_transform(range(1, len(cs) + 1), lambda i: CASE WHEN regexp_matches(cs[i], '[^\p{L}\p{N}_\s]') AND NOT regexp_matches(coalesce(cs[i - 1], ''), '\p{Nd}') AND NOT regexp_matches(coalesce(cs[i + 1], ''), '\p{Nd}') THEN '' ELSE cs[i] END), '') AS t FROM b)
  SELECT doc_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS norm FROM k""",
 }
-QUERIES = {n: globals()[n] for n in ORACLES}
+#: Every benchmark item and vector as a query; the queries with SQL keep the few that their SQL names.
+WHOLE = ("bm25_topk_whole", "reference_rerank_whole", "rrf_fusion_whole", "hybrid_topk_whole")
+QUERIES = {n: globals()[n] for n in [*ORACLES, *WHOLE]}
