@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import vectors as V
+from marlstone.sources.scratch import shared
 
 BROADCAST_ROWS = 10_000
 
@@ -122,6 +123,29 @@ def distances(asked: pa.Table, given: pa.Table) -> np.ndarray:
     return np.sqrt(dx * dx + dy * dy)
 
 
+def diverse_nearest(pool: DataFrame, queries: DataFrame, spacing: float, k: int) -> DataFrame:
+    """``diverse`` over the whole order of every query: k rounds, each takes the best row that is farther than
+    ``spacing`` from all taken before. Only the taken rows are kept between rounds."""
+    shared(pool.sparkSession)
+
+    def far(asked: pa.Table, given: pa.Table) -> np.ndarray:
+        x, y = _numpy(given, "x")[None, :], _numpy(given, "y")[None, :]
+        ok = np.ones((asked.num_rows, given.num_rows), bool)
+        for tx, ty in zip(np.stack(_numpy(asked, "tx")).T, np.stack(_numpy(asked, "ty")).T):
+            ok &= (x - tx[:, None]) ** 2 + (y - ty[:, None]) ** 2 > spacing * spacing
+        return ok
+
+    none = F.array().cast("array<double>")
+    asks, out = queries.select("query_id", "query", none.alias("tx"), none.alias("ty")), None
+    for i in range(k):
+        best = nearest(pool.select("id", "vec", "x", "y"), asks, 1, keep=far if i else None).withColumn("rank", F.lit(i + 1)).checkpoint()
+        out = best if out is None else out.union(best)
+        # a query without a row left drops out
+        took = best.select("query_id", F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"))
+        asks = asks.join(took, "query_id").select("query_id", "query", F.array_append("tx", F.col("_x")).alias("tx"), F.array_append("ty", F.col("_y")).alias("ty"))
+    return out.select("query_id", "rank", "id", "x", "y", "sim")
+
+
 def _tile(table: pa.Table, threshold: float) -> pa.Table:
     side = table.column("side").to_numpy(zero_copy_only=False)
     ids = table.column("id").to_numpy()

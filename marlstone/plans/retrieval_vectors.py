@@ -72,8 +72,7 @@ def nearest_centroid(spark, sf):
 
 
 def diverse_topk(spark, sf):
-    s = R.rank(R.similarities(pool(spark, sf), vector_queries(spark, sf)), ["query_id"], 200)
-    return R.diverse(s, 1024.0, 5)
+    return R.diverse_nearest(pool(spark, sf), every_vector(spark, sf), 1024.0, 5)
 
 
 def cosine_topk_whole(spark, sf):

@@ -55,6 +55,26 @@ def test_every_vector_is_a_query(spark, vectors):
     assert got == {(q, v): best(ids, sim[i], label == v, 3) for i, q in enumerate(ids) for v in set(label)}
 
 
+def test_diverse_walks_the_whole_order(spark, vectors):
+    ids, _, xy, sim = vectors
+    want = {}
+    for i, q in enumerate(ids):
+        taken = []
+        for j in np.lexsort((ids, -sim[i])):
+            if len(taken) < 5 and all(math.dist(xy[j], xy[t]) > 1024 for t in taken):
+                taken.append(j)
+        want[q] = [ids[j] for j in taken]
+    assert by_query(run(spark, "diverse_topk")) == want
+
+
+def test_diverse_goes_on_behind_many_near_rows(spark):
+    # 300 best rows in one place: the other places are behind them
+    rows = [(i, [1.0, i / 1e4], 0, 0) for i in range(300)] + [(300 + i, [1.0, 1.0 + i], 5000 * (i + 1), 0) for i in range(3)]
+    pool = spark.createDataFrame(rows, "id long, vec array<double>, x long, y long")
+    got = V.diverse_nearest(pool, spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, query array<double>"), 1024.0, 5).collect()
+    assert [(r["rank"], r.id) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 0), (2, 300), (3, 301), (4, 302)]
+
+
 def test_tiles_agree_with_one_block(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(90)]
