@@ -81,14 +81,11 @@ def kg_edges(triples: DataFrame, passages: DataFrame, synonyms: DataFrame | None
 def reset_vector(phrases: DataFrame, passages: DataFrame, top: int = 5, weight: float = 0.05) -> DataFrame:
     """(node, reset): the top phrases' positive mean scores and a small positive part of every passage's similarity,
     normalized; uniform if all is 0."""
-    from pyspark.sql import Window
-
     best = phrases.groupBy("node").agg(F.avg("score").alias("m")).orderBy(F.col("m").desc(), "node").limit(top)
     both = best.select("node", F.greatest(F.lit(0.0), F.col("m")).alias("v")).union(passages.select("node", (weight * F.greatest(F.lit(0.0), F.col("sim"))).alias("v")))
     by = both.groupBy("node").agg(F.sum("v").alias("v"))
-    every = Window.partitionBy()
-    total = F.sum("v").over(every)
-    return by.withColumn("reset", F.when(total > 0, F.col("v") / total).otherwise(1.0 / F.count(F.lit(1)).over(every))).select("node", "reset")
+    every = by.agg(F.sum("v").alias("total"), F.count(F.lit(1)).alias("n"))
+    return by.crossJoin(F.broadcast(every)).select("node", F.when(F.col("total") > 0, F.col("v") / F.col("total")).otherwise(1.0 / F.col("n")).alias("reset"))
 
 
 def _ppr_numpy(src, dst, reset, damping, rounds):
@@ -123,8 +120,11 @@ def pagerank(edges: DataFrame, reset: DataFrame, damping: float = 0.5, rounds: i
         return both.withColumn("g", F.lit(1)).groupBy("g").applyInArrow(run, "node string, score double")
     spark: SparkSession = edges.sparkSession
     shared(spark)
-    e = edges.select("src", "dst", (1.0 / F.count(F.lit(1)).over(_by("src"))).alias("w"))
-    dead = r.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti").select("node")
+    # read in every round
+    r = r.checkpoint()
+    both = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
+    e = both.select("src", "dst", (F.col("m") / F.sum("m").over(_by("src"))).alias("w")).checkpoint()
+    dead = r.join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti").select("node").checkpoint()
     p = r.select("node", F.col("reset").alias("score"))
     for i in range(rounds):
         flow = p.join(e, p["node"] == e["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("w")).alias("f"))

@@ -126,3 +126,47 @@ def test_every_benchmark_item_is_a_query(spark, vectors):
     ok = lambda i: i in info and info[i].source not in ("src1", "src5")
     hybrid = {q: sorted((i for i in w if ok(i)), key=lambda i: (info[i].source != "src2", w.index(i)))[:5] for q, w in fused.items()}
     assert by_query(run(spark, "hybrid_topk_whole")) == {q: w for q, w in hybrid.items() if w}
+
+
+def test_graph_holds_all_of_lineitem_and_part(spark):
+    li = spark.read.parquet(f"{SF}/lineitem.parquet").collect()
+    parts = [r.p_partkey for r in spark.read.parquet(f"{SF}/part.parquet").collect()]
+    edges = []
+    for r in li:
+        a, b = f"p{r.l_partkey}", f"p{r.l_partkey}" if r.l_linenumber == 5 else f"s{r.l_suppkey}"
+        if a != b:
+            edges += [("relation", r.l_returnflag, a, b), ("relation", f"inv_{r.l_returnflag}", b, a)]
+    for o, p in {(f"o{r.l_orderkey}", f"p{r.l_partkey}") for r in li}:
+        edges += [("contains", "contains", o, p), ("is_in", "is_in", p, o)]
+    for p in parts:
+        edges += [("synonym", "synonym", f"p{p}", f"p{p + 1}"), ("synonym", "synonym", f"p{p + 1}", f"p{p}")]
+    want = defaultdict(list)
+    for t, label, a, b in edges:
+        want[t, label].append((a, b))
+    assert {(r.type, r.label): (r.n, r.pairs) for r in run(spark, "kg_edges_whole")} == {k: (len(v), len(set(v))) for k, v in want.items()}
+
+    phrase, passage = defaultdict(list), defaultdict(list)
+    for r in li:
+        phrase[f"p{r.l_partkey}"].append(round(float(r.l_discount) * 10 - 0.3, 6))
+        passage[f"o{r.l_orderkey}"].append(float(r.l_tax))
+    top = sorted(((-sum(v) / len(v), k) for k, v in phrase.items()))[:5]
+    reset = {k: max(0.0, -m) for m, k in top} | {k: 0.05 * max(0.0, round(sum(v) / len(v) - 0.03, 6)) for k, v in passage.items()}
+    total = sum(reset.values())
+    reset = {k: v / total for k, v in reset.items()}
+    got = {r.node: r.reset for r in run(spark, "ppr_reset_whole")}
+    assert got.keys() == reset.keys() and all(got[k] == pytest.approx(v, abs=1e-7) for k, v in reset.items())
+
+    out = defaultdict(list)
+    for _, _, a, b in edges:
+        out[a].append(b)
+    nodes = {*out, *reset, *(b for v in out.values() for b in v)}
+    p = {k: reset.get(k, 0.0) for k in nodes}
+    for _ in range(20):
+        flow = defaultdict(float)
+        for a, v in out.items():
+            for b in v:
+                flow[b] += p[a] / len(v)
+        lost = sum(p[k] for k in nodes if k not in out)
+        p = {k: 0.5 * reset.get(k, 0.0) + 0.5 * (flow[k] + lost * reset.get(k, 0.0)) for k in nodes}
+    got = {r.node: r.score for r in run(spark, "ppr_scores")}
+    assert got.keys() == p.keys() and all(got[k] == pytest.approx(v, abs=1e-7) for k, v in p.items())
