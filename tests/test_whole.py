@@ -1,12 +1,16 @@
 """Queries over whole tables against brute force; they have no SQL or a narrower one."""
 
 import math
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from marlstone.operators import metrics as M
 from marlstone.operators import vectors as V
+from marlstone.plans import evaluation as E
 from marlstone.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -85,8 +89,6 @@ def test_tiles_agree_with_one_block(spark):
 
 
 def bm25_twin(spark):
-    import re
-
     docs = {r.doc_id: re.findall(r"\w+", (r.text or "").lower()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     mean = sum(map(len, docs.values())) / len(docs)
     post = defaultdict(dict)
@@ -170,3 +172,63 @@ def test_graph_holds_all_of_lineitem_and_part(spark):
         p = {k: 0.5 * reset.get(k, 0.0) + 0.5 * (flow[k] + lost * reset.get(k, 0.0)) for k in nodes}
     got = {r.node: r.score for r in run(spark, "ppr_scores")}
     assert got.keys() == p.keys() and all(got[k] == pytest.approx(v, abs=1e-7) for k, v in p.items())
+
+
+def words(text):
+    t = text.strip().lower()
+    for _ in range(2):
+        t = re.sub(r"([^\W\d_])[^\w\s]([^\W\d_])", r"\1 \2", t)
+    kept = (ch for i, ch in enumerate(t) if not (re.match(r"[^\w\s]", ch) and not t[i - 1 : i].isdigit() and not t[i + 1 : i + 2].isdigit()))
+    return "".join(kept).split()
+
+
+def test_metrics_score_whole_texts(spark):
+    raw = defaultdict(dict)
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        raw[r.conv_id][r.turn] = r.text
+    pairs = {(r.case, r.pos): (r.pred, r.gt) for r in E._pairs(spark, SF, True).collect()}
+    for (conv, turn), (pred, gt) in pairs.items():
+        later = min(t for t in raw[conv] if t > turn)
+        assert pred.startswith(raw[conv][turn]) and gt.startswith(raw[conv][later])
+    assert any(len(p) > 300 for p, _ in pairs.values())
+    f1, recall, lcs, bag = {}, {}, {}, {}
+    for k, (pred, gt) in pairs.items():
+        a, b = words(pred), words(gt)
+        tp = len({*a} & {*b})
+        f1[k], recall[k] = 2 * tp / (len({*a}) + len({*b})), tp / len({*b})
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(old[j] + 1 if x == y else max(row[-1], old[j + 1]))
+        lcs[k] = 2 * row[-1] / (len(a) + len(b))
+        bag[k] = sum((Counter(re.findall(r"\w+", pred.lower())) & Counter(re.findall(r"\w+", gt.lower()))).values())
+    for name, col, want in (("token_f1_whole", "f1", f1), ("answer_recall_whole", "recall", recall), ("rouge_l", "rouge_l", lcs), ("corpus_bag_overlap_whole", "overlap", bag)):
+        got = {(r.case, r.pos): r[col] for r in run(spark, name)}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-6) for k, v in want.items()), name
+    one = spark.createDataFrame([(*k, *v) for k, v in pairs.items()], "case long, pos long, pred string, gt string")
+    for name, col, f in (("negation_consistency_whole", "score", M.negation_consistency), ("numeric_fidelity_whole", "fidelity", M.numeric_fidelity), ("bleu4", "bleu", M.bleu4)):
+        x = f(F.col("pred"), F.col("gt"))
+        want = {(r.case, r.pos): r.x for r in one.select("case", "pos", F.round(x["score"] if col == "score" else x, 6).alias("x")).collect()}
+        assert {(r.case, r.pos): r[col] for r in run(spark, name)} == want, name
+    assert sum(r.n for r in run(spark, "baseline_report_whole")) == len(pairs)
+    n = [(r.score, r.n) for r in run(spark, "negation_consistency_whole")]
+    (m,) = run(spark, "weighted_negation_mean_whole")
+    assert m.n == sum(k for _, k in n) and m["mean"] == pytest.approx(sum(s * k for s, k in n) / m.n, abs=1e-6)
+
+
+def test_chains_hold_every_event(spark):
+    chains = defaultdict(list)
+    for r in sorted(spark.read.parquet(f"{SF}/events.parquet").collect(), key=lambda r: r.event_id):
+        i = r.event_id
+        chains[r.user_id * 100 + i // 2500].append((r.event_type, f"value {i % 4}", f"value {i % 3 if i % 5 == 0 else i % 4}"))
+    f1, valid, accuracy = {}, {}, {}
+    for k, v in chains.items():
+        a, b = {(t, x) for t, x, _ in v}, {(t, y) for t, _, y in v}
+        f1[k] = 2 * len(a & b) / (len(a) + len(b))
+        valid[k] = k % 2 == 0 or all(x == y for _, x, y in v)
+        last = {t: x == y for t, x, y in v}
+        accuracy[k] = sum(last.values()) / len(last)
+    for name, col, want in (("edge_f1_whole", "f1", f1), ("path_validity_whole", "valid", valid), ("node_accuracy_whole", "accuracy", accuracy)):
+        got = {r.case: r[col] for r in run(spark, name)}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-6) for k, v in want.items()), name
