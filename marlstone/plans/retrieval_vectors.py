@@ -1,5 +1,7 @@
 """Vector retrieval and tile geometry queries."""
 
+from functools import partial
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -131,15 +133,16 @@ def tissue_fraction(spark, sf):
 
 
 def _coords(spark, sf):
-    return table(spark, sf, "orders").where("o_orderkey < 20000").select((F.col("o_custkey") % 7).alias("slide_id"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") * 7919 % 40000).alias("x"), (F.col("o_orderkey") * 104729 % 30000).alias("y"))
+    return table(spark, sf, "orders").select((F.col("o_custkey") % 7).alias("slide_id"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") * 7919 % 40000).alias("x"), (F.col("o_orderkey") * 104729 % 30000).alias("y"))
 
 
 def stratified_sample(spark, sf):
     return G.stratified_sample(_coords(spark, sf), 100, 4, 4, 512)
 
 
-def encode_policy(spark, sf):
-    n = _coords(spark, sf).groupBy("slide_id").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
+def encode_policy(spark, sf, whole=False):
+    xy = _coords(spark, sf) if whole else _coords(spark, sf).where("ord < 20000")  # what the SQL reads
+    n = xy.groupBy("slide_id").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
     return n.withColumn("policy", G.encode_policy(F.col("n"), 100, 200))
 
 
@@ -193,4 +196,4 @@ ORACLES["representative_pool_topk"] = f"WITH {SCORED}, r AS ({ORACLES['nearest_c
 _NAMES = "cosine_topk cosine_topk_per_label cosine_topk_excluding anchor_min_distance_topk anchor_relax_topk representative_pool_topk similar_pairs mean_pool_by_label nearest_centroid diverse_topk kmeans_sizes tile_grid tissue_fraction stratified_sample encode_policy zoom_recentre parent_tiles grandparent_chain hsv_mask".split()
 #: Every vector as a query; the queries with SQL keep the few that their SQL names.
 WHOLE = "cosine_topk_whole cosine_topk_per_label_whole cosine_topk_excluding_whole anchor_min_distance_topk_whole anchor_relax_topk_whole representative_pool_topk_whole".split()
-QUERIES = {n: globals()[n] for n in [*_NAMES, *WHOLE]}
+QUERIES = {n: globals()[n] for n in [*_NAMES, *WHOLE]} | {"encode_policy_whole": partial(encode_policy, whole=True)}

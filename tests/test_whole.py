@@ -232,3 +232,15 @@ def test_chains_hold_every_event(spark):
     for name, col, want in (("edge_f1_whole", "f1", f1), ("path_validity_whole", "valid", valid), ("node_accuracy_whole", "accuracy", accuracy)):
         got = {r.case: r[col] for r in run(spark, name)}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-6) for k, v in want.items()), name
+
+
+def test_coordinates_come_from_all_orders(spark, monkeypatch):
+    from marlstone.plans import retrieval_vectors
+
+    # keys beyond the old bound of 20000
+    orders = spark.createDataFrame([(i * 100, i) for i in range(1, 1001)], "o_orderkey long, o_custkey long")
+    monkeypatch.setattr(retrieval_vectors, "table", lambda *a: orders)
+    n = Counter(i % 7 for i in range(1, 1001))
+    assert {r.slide_id: r.n for r in retrieval_vectors.encode_policy(spark, SF, whole=True).collect()} == n
+    got = retrieval_vectors.stratified_sample(spark, SF).collect()
+    assert Counter(r.slide_id for r in got) == {k: 100 for k in n} and max(r.ord for r in got) > 20000
