@@ -17,11 +17,12 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones stays, the one of the least id. A document without an id stands
-    behind those that have one, under a key made from its text."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", "source", "lang").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
-    keyed = docs.withColumn("_key", key)
-    stay = ngram_join.similar(keyed.select(F.col("_key").alias("doc_id"), "text")).where("doc_id = group_id").select(F.col("doc_id").alias("_key")).distinct()
+    """One document of each group of similar ones stays, the one of the least id; documents without an id stand behind
+    those that have one. Rows are keyed by id and text, so texts that share an id are documents of their own."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    groups = ngram_join.similar(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "group_id").distinct()
+    named = groups.join(keyed.select("_key", "doc_id").distinct(), "_key")
+    stay = named.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")).alias("m")).select("m._key")
     return keyed.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
