@@ -7,7 +7,8 @@ blocks a source). Its draws are whole passes over its permuted blocks, then a pa
 one block that the target cuts, documents are taken in hash order as long as they fit, so what is missing is less
 than any document left out. A binary tree then splits the exact block quotas of all sources among the output shards:
 a node's halves get multivariate-hypergeometric counts, drawn without replacement from hashed uniforms, so reruns
-agree; each shard takes its own run of a source's permuted draws and orders it by hash.
+agree; each shard takes its own run of a source's permuted draws. Each copy has its shard and a hashed position there:
+(shard, position) is the order of the output, and no task has to hold a shard for it.
 
 Bounds: tables a source or a (source, block) row are small and joined by broadcast only after their rows were counted;
 no step keeps a source's documents in one task but the block that is cut (1 / blocks of the source).
@@ -26,7 +27,7 @@ from marlstone.llm.common import WORD, stage
 
 BLOCK_DOCS, MAX_BLOCKS = 2048, 4096
 BROADCAST_ROWS = 200_000
-ADDED = ("size", "source_size", "target", "taken", "copies", "shards")
+ADDED = ("size", "source_size", "target", "taken", "copies", "shards", "positions")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def split_tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
 
 def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, levels: int = 4, seed: int = 17, carry: bool = True) -> DataFrame:
     """The rows of ``docs`` with size, source_size, target, taken (words, repeats counted), copies and the shards of
-    the copies. Needs doc_id and source; without ``carry`` only those columns are returned and no text is shuffled."""
+    the copies, with each copy's position in its shard. Needs doc_id and source; without ``carry`` only those columns are returned and no text is shuffled."""
     kept = [c for c in docs.columns if c not in (*ADDED, "_mix_key")]
     key = F.xxhash64("doc_id", "source", text)
     docs = docs.select(*kept, F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"), key.alias("_mix_key"))
@@ -134,7 +135,9 @@ def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = (5, 2, 1
     units = units.join(pick, units["doc_id"].eqNullSafe(pick["doc_id"]) & units["_mix_key"].eqNullSafe(pick["_mix_key"]), "left").drop(pick["doc_id"]).drop(pick["_mix_key"])
     shards = F.concat(F.coalesce("whole", F.array().cast("array<int>")), F.when(F.col("_in"), F.array("cut_shard")).otherwise(F.array().cast("array<int>")))
     units = units.withColumn("shards", shards).withColumn("copies", F.size("shards"))
-    decided = units.select("doc_id", "_mix_key", "source", "size", "n", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "shards")
+    place = lambda s, i: F.xxhash64(F.lit(seed), F.lit(-3), s, i, F.col("doc_id"), F.col("_mix_key"))
+    units = units.withColumn("positions", F.transform("shards", place))
+    decided = units.select("doc_id", "_mix_key", "source", "size", "n", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "shards", "positions")
     if not carry:  # equal rows are unfolded again
         return decided.select("doc_id", "source", *ADDED, F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("_i")).drop("_i")
     d, u = docs.alias("d"), decided.drop("source", "size", "n").alias("u")

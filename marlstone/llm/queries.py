@@ -74,7 +74,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_docs(spark, sf_dir), carry=False).select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
+    return mixing.mix(_docs(spark, sf_dir), carry=False).select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "shards", "positions")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,3 +16,16 @@ def test_texts_that_share_an_id_are_documents_of_their_own(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=repr)
     assert got == sorted([(1, text(1)), (1, text(2)), (2, text(3)), (2, text(4)), (3, text(5)), (None, text(6))], key=repr)
+
+
+def test_every_copy_has_a_shard_and_a_place_in_it(spark):
+    rows = [(i, f"s{i % 3}", " ".join(["w"] * (5 + i % 7))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(df, carry=False).collect()
+    assert all(len(r.positions) == len(r.shards) == r.copies for r in got) and any(r.copies > 1 for r in got)
+    order = sorted((s, p, r.doc_id) for r in got for s, p in zip(r.shards, r.positions))
+    assert len({x[:2] for x in order}) == len(order)
+    again = sorted((s, p, r.doc_id) for r in mixing.mix(df.repartition(5)).collect() for s, p in zip(r.shards, r.positions))
+    assert again == order
+    first = [d for s, _, d in order if s == order[0][0]]
+    assert len(first) > 5 and first != sorted(first)
