@@ -148,8 +148,13 @@ def shorten(t: Column, n: int) -> Column:
     return F.when(F.length(t) > n, F.concat(F.substring(t, 1, n - 1), F.lit("…"))).otherwise(t)
 
 
+def padded(n: Column) -> Column:
+    """A number's digits padded to four; longer ones stay whole."""
+    return F.lpad(n, F.greatest(F.length(n), F.lit(4)), F.lit("0"))
+
+
 def specimen(t: Column) -> Column:
     """(prefix, number, block) of a specimen name such as AB-12-3, the number padded to four digits."""
     pat = r"^([A-Za-z]+)[-_ ]?(\d+)(?:[-_ ](\w+))?"
     g = lambda i: F.regexp_extract(t, pat, i)
-    return F.struct(F.upper(g(1)).alias("prefix"), F.lpad(g(2), 4, "0").alias("number"), g(3).alias("block"))
+    return F.struct(F.upper(g(1)).alias("prefix"), padded(g(2)).alias("number"), g(3).alias("block"))

@@ -1,5 +1,7 @@
 """Records, prompts and exports over the stand-in tables."""
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
@@ -11,48 +13,52 @@ from marlstone.plans.base import pool, table
 c = F.col
 
 
-def _steps(spark, sf):
+def _steps(spark, sf, whole=False):
     t = table(spark, sf, "conversations")
+    text = lambda n: c("text") if whole else F.substring("text", 1, n)  # noqa: E731  # what the SQL reads
     kind = F.get(F.array(*map(F.lit, ("single_select", "free_text", "boolean"))), (c("turn") % 3).cast("int"))
-    ans = F.when(c("turn") % 4 == 3, "").when(c("conv_id") % 3 == 0, F.when(c("turn") == 1, "no invasion").otherwise("deep invasion")).otherwise(F.substring("text", 1, 5))
-    return t.select(c("conv_id").alias("case"), c("turn").alias("pos"), F.concat(F.lit("n"), c("turn").cast("string")).alias("node_id"), F.substring("text", 1, 9).alias("question"), ans.alias("answer"), kind.alias("interaction"))
+    ans = F.when(c("turn") % 4 == 3, "").when(c("conv_id") % 3 == 0, F.when(c("turn") == 1, "no invasion").otherwise("deep invasion")).otherwise(text(5))
+    return t.select(c("conv_id").alias("case"), c("turn").alias("pos"), F.concat(F.lit("n"), c("turn").cast("string")).alias("node_id"), text(9).alias("question"), ans.alias("answer"), kind.alias("interaction"))
 
 
-def _chains(spark, sf):
-    s = _steps(spark, sf)
+def _chains(spark, sf, whole=False):
+    s = _steps(spark, sf, whole)
     ch = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct(F.when(c("pos") == 4, "report").otherwise(c("node_id")).alias("node_id"), "question", "answer").alias("s")))), lambda x: x["s"])
     return s.groupBy(c("case").alias("slide_id")).agg(ch.alias("chain")).withColumns({"report": F.when(c("slide_id") % 5 == 0, F.lit(" final ")), "node_path": F.lit(None).cast("array<string>")})
 
 
-def flatten_evidence(spark, sf):
-    p = pool(spark, sf).where("id < 200").select(c("id").alias("rank"), F.concat(F.lit("p/"), c("id").cast("string")).alias("patch_path"), F.when(c("id") % 2 == 0, F.concat(F.lit("m/"), c("id").cast("string"))).alias("parent_path"), F.when(c("id") % 3 == 0, "").otherwise("g").alias("grandparent_path"))
+def flatten_evidence(spark, sf, whole=False):
+    p = pool(spark, sf) if whole else pool(spark, sf).where("id < 200")
+    p = p.select(c("id").alias("rank"), F.concat(F.lit("p/"), c("id").cast("string")).alias("patch_path"), F.when(c("id") % 2 == 0, F.concat(F.lit("m/"), c("id").cast("string"))).alias("parent_path"), F.when(c("id") % 3 == 0, "").otherwise("g").alias("grandparent_path"))
     return R.flatten_evidence(p)
 
 
-def eval_record(spark, sf):
-    r = R.eval_record(_chains(spark, sf))
+def eval_record(spark, sf, whole=False):
+    r = R.eval_record(_chains(spark, sf, whole))
     return r.select("slide_id", F.array_join("node_path", ">").alias("path"), "report", F.size(R.without_report(c("chain"))).alias("n_steps"))
 
 
-def selection_prompts(spark, sf):
-    ch = _chains(spark, sf)
+def selection_prompts(spark, sf, whole=False):
+    ch = _chains(spark, sf, whole)
     cands = ch.select((c("slide_id") % 10).alias("case_key"), c("slide_id").alias("pos"), c("slide_id").cast("string").alias("slide_id"), R.chain_text(c("chain"), F.coalesce("report", F.lit(""))).alias("text"))
     return R.selection_prompt(cands).select("case_key", F.sha2("prompt", 256).alias("prompt_sha"))
 
 
-def step_prompts(spark, sf):
-    s = _steps(spark, sf)
+def step_prompts(spark, sf, whole=False):
+    s = _steps(spark, sf, whole)
     return s.select("case", "pos", R.sections(c("question"), F.lit(""), c("answer"), R.visual_note((c("pos") % 3).cast("int"), (c("pos") % 2).cast("int"))).alias("prompt"), T.shorten(c("question"), 6).alias("short"))
 
 
-def format_hits(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id < 300")
-    h = d.select((c("doc_id") % 30).alias("query_id"), F.floor(c("doc_id") / 30).alias("rank"), c("source").alias("title"), F.substring("text", 1, 20).alias("text"))
+def format_hits(spark, sf, whole=False):
+    d = table(spark, sf, "documents")
+    if whole:  # thirty hits a query at any size
+        return R.format_hits(d.select(F.floor(c("doc_id") / 30).alias("query_id"), (c("doc_id") % 30).alias("rank"), c("source").alias("title"), "text"))
+    h = d.where("doc_id < 300").select((c("doc_id") % 30).alias("query_id"), F.floor(c("doc_id") / 30).alias("rank"), c("source").alias("title"), F.substring("text", 1, 20).alias("text"))
     return R.format_hits(h)
 
 
-def training_samples(spark, sf):
-    s = R.training_samples(_steps(spark, sf))
+def training_samples(spark, sf, whole=False):
+    s = R.training_samples(_steps(spark, sf, whole))
     return s.select("case", "pos", "episodic_context", R.chat_sample(F.lit("sys"), c("question"), c("answer")).alias("sample"))
 
 
@@ -77,8 +83,8 @@ def spread_labels(spark, sf):
     return R.spread_labels(p, 3.0)
 
 
-def consistency_break(spark, sf):
-    return R.consistency_break(_steps(spark, sf)).select("case", "pos", "inconsistent")
+def consistency_break(spark, sf, whole=False):
+    return R.consistency_break(_steps(spark, sf, whole)).select("case", "pos", "inconsistent")
 
 
 def count_mismatch(spark, sf):
@@ -86,9 +92,11 @@ def count_mismatch(spark, sf):
     return R.consistent_counts(li.where("l_quantity > 10").select("l_orderkey"), li.where("l_discount > 0.02").select("l_orderkey"), "l_orderkey")
 
 
-def specimen_key_join(spark, sf):
-    s = table(spark, sf, "supplier").select("s_suppkey", T.specimen(F.concat(F.lit("tu-"), (c("s_suppkey") % 60).cast("string"), F.lit("-A"))).alias("k"))
-    k = table(spark, sf, "customer").where("c_custkey <= 60").select(F.lpad(c("c_custkey").cast("string"), 4, "0").alias("number"), "c_name")
+def specimen_key_join(spark, sf, whole=False):
+    key = c("s_suppkey") if whole else c("s_suppkey") % 60
+    s = table(spark, sf, "supplier").select("s_suppkey", T.specimen(F.concat(F.lit("tu-"), key.cast("string"), F.lit("-A"))).alias("k"))
+    k = table(spark, sf, "customer") if whole else table(spark, sf, "customer").where("c_custkey <= 60")
+    k = k.select(T.padded(c("c_custkey").cast("string")).alias("number"), "c_name")
     return s.select("s_suppkey", "k.prefix", "k.number", "k.block").join(k, "number", "left")
 
 
@@ -115,3 +123,6 @@ ORACLES = {
     "report_pick": "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END, o_orderpriority) AS report FROM orders",
 }
 QUERIES = {n: globals()[n] for n in ORACLES}
+#: Whole tables and texts; the queries with SQL keep what their SQL reads.
+WHOLE = "flatten_evidence eval_record selection_prompts step_prompts format_hits training_samples consistency_break specimen_key_join".split()
+QUERIES |= {f"{n}_whole": partial(globals()[n], whole=True) for n in WHOLE}

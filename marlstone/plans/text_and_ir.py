@@ -1,5 +1,7 @@
 """Text functions, lexical and hybrid retrieval."""
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
@@ -16,8 +18,9 @@ def metric_normalize(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.metric_normalize(F.regexp_replace(c("text"), r"\|", " 3.5mm, well-known ")).alias("norm"))
 
 
-def canonical_key(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.canonical_key(F.substring("text", 1, 60)).alias("key"), T.safe_name(F.substring("source", 1, 20)).alias("safe"))
+def canonical_key(spark, sf, whole=False):
+    part = (lambda t, n: c(t)) if whole else lambda t, n: F.substring(t, 1, n)  # what the SQL reads
+    return table(spark, sf, "documents").select("doc_id", T.canonical_key(part("text", 60)).alias("key"), T.safe_name(part("source", 20)).alias("safe"))
 
 
 def _answers(spark, sf):
@@ -53,9 +56,9 @@ def label_parse(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", T.label_parse(F.get(v, (c("o_orderkey") % 4).cast("int")), LABELS).alias("label"))
 
 
-def qa_pairs(spark, sf):
+def qa_pairs(spark, sf, whole=False):
     d = table(spark, sf, "documents")
-    t = F.when(c("doc_id") % 3 == 0, F.substring("text", 1, 30)).otherwise(F.concat(F.lit("Q1: what "), c("lang"), F.lit("\nA1: it: "), c("source"), F.lit("\nA2: lost\nQ2: more\n\nA2: yes\nFINAL: "), c("lang")))
+    t = F.when(c("doc_id") % 3 == 0, c("text") if whole else F.substring("text", 1, 30)).otherwise(F.concat(F.lit("Q1: what "), c("lang"), F.lit("\nA1: it: "), c("source"), F.lit("\nA2: lost\nQ2: more\n\nA2: yes\nFINAL: "), c("lang")))
     return d.select("doc_id", F.posexplode(T.qa_pairs(t)).alias("pos", "s")).select("doc_id", "pos", "s.node_id", "s.question", "s.answer")
 
 
@@ -185,3 +188,5 @@ ORACLES = {
 #: Every benchmark item and vector as a query; the queries with SQL keep the few that their SQL names.
 WHOLE = ("bm25_topk_whole", "reference_rerank_whole", "rrf_fusion_whole", "hybrid_topk_whole")
 QUERIES = {n: globals()[n] for n in [*ORACLES, *WHOLE]}
+#: Whole texts.
+QUERIES |= {f"{n}_whole": partial(globals()[n], whole=True) for n in ("canonical_key", "qa_pairs")}

@@ -1,5 +1,7 @@
 """Joins, manifests, windows and set operations over work items."""
 
+from functools import partial
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -121,21 +123,22 @@ def train_test_size(spark, sf):
     return R.train_test(table(spark, sf, "customer").select("c_custkey"), "c_custkey").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _steps(spark, sf):
+def _steps(spark, sf, whole=False):
     t = table(spark, sf, "conversations")
-    return t.select(c("conv_id").alias("case"), c("turn").alias("pos"), F.when(c("turn") % 5 == 3, F.lit(None)).otherwise(F.concat_ws("_", "role", c("turn").cast("string"))).alias("node_id"), F.substring("text", 1, 12).alias("question"), F.when(c("turn") % 4 == 2, F.lit("")).otherwise(F.substring("text", 1, 6)).alias("answer"))
+    text = lambda n: c("text") if whole else F.substring("text", 1, n)  # noqa: E731  # what the SQL reads
+    return t.select(c("conv_id").alias("case"), c("turn").alias("pos"), F.when(c("turn") % 5 == 3, F.lit(None)).otherwise(F.concat_ws("_", "role", c("turn").cast("string"))).alias("node_id"), text(12).alias("question"), F.when(c("turn") % 4 == 2, F.lit("")).otherwise(text(6)).alias("answer"))
 
 
-def prior_context(spark, sf):
-    return C.prior_context(_steps(spark, sf)).select("case", "pos", "context")
+def prior_context(spark, sf, whole=False):
+    return C.prior_context(_steps(spark, sf, whole)).select("case", "pos", "context")
 
 
-def last4_context(spark, sf):
-    return C.prior_context(_steps(spark, sf), 4).select("case", "pos", "context")
+def last4_context(spark, sf, whole=False):
+    return C.prior_context(_steps(spark, sf, whole), 4).select("case", "pos", "context")
 
 
-def next_question_lead(spark, sf):
-    return C.next_question(_steps(spark, sf)).select("case", "pos", "next_question")
+def next_question_lead(spark, sf, whole=False):
+    return C.next_question(_steps(spark, sf, whole)).select("case", "pos", "next_question")
 
 
 def latest_anchor(spark, sf):
@@ -163,8 +166,9 @@ def reindex_sorted(spark, sf):
     return C.reindex(n, "number", "slide_id")
 
 
-def inner_loop(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 2 = 0")
+def inner_loop(spark, sf, whole=False):
+    e = table(spark, sf, "events")
+    e = e if whole else e.where("event_id % 2 = 0")
     it = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id")) - 1
     s = e.select(c("user_id").alias("case"), c("event_type").alias("node_id"), it.alias("iter"), F.array((c("event_id") % 9).cast("int"), (c("event_id") % 5).cast("int")).alias("patch_ids"), (c("value") > 15).alias("sufficient"))
     return C.inner_loop(s).select("case", "node_id", "iter", "sufficient", F.array_join("excluded", ",").alias("excluded"))
@@ -218,3 +222,6 @@ ORACLES = {
     "branch_choice": "SELECT o_orderkey, concat_ws(',', CASE WHEN o_totalprice < 50000 THEN 'cheap' END, CASE WHEN o_orderstatus = 'F' THEN 'final' END, CASE WHEN o_custkey % 2 = 0 THEN 'even' END) AS reason FROM orders",
 }
 QUERIES = {n: globals()[n] for n in ORACLES}
+#: All events and whole texts; the queries with SQL keep what their SQL reads.
+WHOLE = ("prior_context", "last4_context", "next_question_lead", "inner_loop")
+QUERIES |= {f"{n}_whole": partial(globals()[n], whole=True) for n in WHOLE}

@@ -244,3 +244,40 @@ def test_coordinates_come_from_all_orders(spark, monkeypatch):
     assert {r.slide_id: r.n for r in retrieval_vectors.encode_policy(spark, SF, whole=True).collect()} == n
     got = retrieval_vectors.stratified_sample(spark, SF).collect()
     assert Counter(r.slide_id for r in got) == {k: 100 for k in n} and max(r.ord for r in got) > 20000
+
+
+def test_records_hold_whole_tables_and_texts(spark):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    hits = {r.query_id: r.context for r in run(spark, "format_hits_whole")}
+    assert hits.keys() == {i // 30 for i in docs}
+    for q, got in hits.items():
+        assert got == "\n---\n".join(f"[{i % 30}] {docs[i].source}\n{docs[i].text}" for i in sorted(docs) if i // 30 == q)
+    keys = {r.doc_id: r.key for r in run(spark, "canonical_key_whole")}
+    assert keys == {i: re.sub(r"[^a-z0-9_]", "", re.sub(r"[ \t\n\x0b\f\r\-]+", "_", d.text.strip(" ").lower())) for i, d in docs.items()}
+    answers = {r.doc_id: r.answer for r in run(spark, "qa_pairs_whole") if r.node_id == "naive_oneshot"}
+    assert answers == {i: docs[i].text.strip() for i in answers} and len(answers) >= len(docs) // 4
+    vectors = [r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    assert {r["rank"] for r in run(spark, "flatten_evidence_whole")} == set(vectors)
+    names = {r.c_custkey: r.c_name for r in spark.read.parquet(f"{SF}/customer.parquet").collect()}
+    assert {r.s_suppkey: r.c_name for r in run(spark, "specimen_key_join_whole")} == {r.s_suppkey: names.get(r.s_suppkey) for r in spark.read.parquet(f"{SF}/supplier.parquet").collect()}
+    talk = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
+    for r in run(spark, "next_question_lead_whole"):
+        later = [t for k, t in talk if k == r.case and t > r.pos]
+        assert not r.next_question or r.next_question in {talk[r.case, t] for t in later}
+    assert max(len(r.prompt) for r in run(spark, "step_prompts_whole")) > 300
+
+
+def test_inner_loop_runs_over_every_event(spark):
+    events = sorted(spark.read.parquet(f"{SF}/events.parquet").collect(), key=lambda r: r.event_id)
+    loops = defaultdict(list)
+    for r in events:
+        loops[r.user_id, r.event_type].append(r)
+    want = set()
+    for (case, node), rows in loops.items():
+        seen = set()
+        for i, r in enumerate(rows[:3]):
+            want.add((case, node, i, r.value > 15, ",".join(map(str, sorted(seen)))))
+            seen |= {r.event_id % 9, r.event_id % 5}
+            if r.value > 15:
+                break
+    assert {(r.case, r.node_id, r.iter, r.sufficient, r.excluded) for r in run(spark, "inner_loop_whole")} == want
