@@ -78,13 +78,14 @@ def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = N
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.length("_t").cast("long").alias("n_chars_all"),
     )
+    # only the first word carries what belongs to the row: a copy beside every word would grow with the square of a text
     after = lambda k: F.slice("_w", k, F.size("_w"))
-    word = rows.select("_rid", own.alias("_own"), F.posexplode(F.arrays_zip(F.col("_w").alias("a"), after(2).alias("b"), after(3).alias("c"))).alias("_pos", "_x"))
+    word = rows.select("_rid", F.posexplode(F.arrays_zip(F.col("_w").alias("a"), after(2).alias("b"), after(3).alias("c"), F.array(own).alias("own"))).alias("_pos", "_x"))
     w = F.col("_x.a")
     word = word.select(
         "_rid",
         "_pos",
-        F.when(F.col("_pos") == 0, F.col("_own")).alias("_own"),
+        F.col("_x.own").alias("_own"),
         F.when(F.col("_x.c").isNotNull(), F.xxhash64("_x.a", "_x.b", "_x.c")).alias("_h"),
         F.length(w).alias("_len"),
         # an all-capitals word, and a word with a letter in it, as two bits
@@ -93,15 +94,17 @@ def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = N
     word = word.withColumn("_twice", F.col("_h").isNotNull() & (F.count(F.lit(1)).over(Window.partitionBy("_rid", "_h")) > 1))
     order = Window.partitionBy("_rid").orderBy("_pos")
     word = word.withColumn("_in", F.col("_twice") | F.coalesce(F.lag("_twice", 1).over(order), F.lit(False)) | F.coalesce(F.lag("_twice", 2).over(order), F.lit(False)))
-    book = word.groupBy("_rid").agg(
-        F.first("_own", ignorenulls=True).alias("_own"),
-        F.count_if(F.col("_len") > 0).alias("n_words"),
-        F.sum("_len").alias("word_chars"),
-        F.count_if("_in").alias("n_repeat_words"),
-        F.count_if(F.col("_kind") >= 2).alias("n_letter_words"),
-        F.count_if(F.col("_kind").isin(1, 3)).alias("n_capital_words"),
-        F.count_if(F.col("_len") > 40).alias("n_long_words"),
-    )
+    # sums over the row, read off its first word: an aggregate would copy what the row carries once a word
+    all_ = Window.partitionBy("_rid")
+    total = lambda cond: F.sum(F.when(cond, 1).otherwise(0).cast("long")).over(all_)
+    book = word.withColumns({
+        "n_words": total(F.col("_len") > 0),
+        "word_chars": F.sum(F.col("_len").cast("long")).over(all_),
+        "n_repeat_words": total(F.col("_in")),
+        "n_letter_words": total(F.col("_kind") >= 2),
+        "n_capital_words": total(F.col("_kind").isin(1, 3)),
+        "n_long_words": total(F.col("_len") > 40),
+    }).where("_pos = 0")
     out = book.select(*[(F.col("_own.text") if c == text else F.col("_own.row")[c]).alias(c) for c in keep], *[F.col(f"_own.{m}").alias(m) if m in ("n_symbols", "n_lines", "n_dup_lines", "n_chars_all") else F.col(m) for m in MEASURES])
     bits = [F.when(cond, F.lit(1 << i)).otherwise(0) for i, (_, cond) in enumerate(_rules())]
     mask = bits[0]
