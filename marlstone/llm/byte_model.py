@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import LOWER, Fingerprints, flat, portions, release, stage, words_of
+from marlstone.llm.common import LOWER, flat, portions, range_hashes, release, stage, words_of
 
 DEPTH, BLOCK_BYTES, PORTION, FOLDS = 5, 16 << 20, 1_000_000, 10
 WORD_BITS = 56
@@ -81,7 +81,7 @@ def _strings(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, end, first = words_of(buf, off)
-    return Fingerprints(buf, 41).of(start, end) >> np.uint64(64 - WORD_BITS), first
+    return range_hashes(buf, start, end, 41) >> np.uint64(64 - WORD_BITS), first
 
 
 def _distinct(keys: np.ndarray, train: int) -> tuple[np.ndarray, np.ndarray]:

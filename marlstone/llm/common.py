@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,25 +91,101 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow[0][:n], _pow[1][:n]
 
 
-class Fingerprints:
-    """64-bit fingerprints of any byte ranges of one buffer: polynomial prefix sums modulo 2**64 over random
-    byte values, finalized; equal bytes give equal values wherever they stand."""
+def range_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 7, most: int = 1 << 20) -> np.ndarray:
+    """64-bit fingerprints of byte ranges: each run of eight bytes is mixed with a key of its place, the results are
+    added and mixed with the length. Ranges of up to eight bytes and equal length never collide; longer ones do by
+    chance alone (no polynomial, so no string has a partner that collides under every key)."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    eight = np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(16, np.uint8)]).tobytes(), 0, (1,))
+    size = (end - start).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        x = eight[start]
+        x &= _KEEP[np.minimum(size, np.uint64(8)).astype(np.intp)]
+        out = mix(x ^ _place(np.uint64(0), seed))
+        long = np.flatnonzero(size > np.uint64(8))
+        begin, left = start[long] + 8, size[long].astype(np.int64) - 8
+        blocks = (left + 7) >> 3
+        ends = np.concatenate([[0], np.cumsum(blocks)])
+        for i, j in portions(ends, most) if len(long) else ():
+            n = blocks[i:j]
+            first = np.cumsum(n) - n
+            k = np.arange(n.sum()) - np.repeat(first, n)
+            x = eight[np.repeat(begin[i:j], n) + (k << 3)]
+            x[first + n - 1] &= _KEEP[left[i:j] - ((n - 1) << 3)]
+            x = mix(x ^ _place((k + 1).astype(np.uint64), seed))
+            out[long[i:j]] += np.add.reduceat(x, first)
+        return mix(out + size * _B)
+
+
+#: The lowest n bytes of eight.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _place(k: np.ndarray, seed: int) -> np.ndarray:
+    return mix(k * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed))
+
+
+class Rolling:
+    """Cheap fingerprints of every range of a width, to choose places by; they decide no equality."""
 
     def __init__(self, buf: np.ndarray, seed: int = 7):
         p, self._inv = _powers(len(buf) + 1)
         self._sum = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(_lut(seed)[buf] * p[:-1], out=self._sum[1:])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self._sum[end] - self._sum[start]) * self._inv[start] + (end - start).astype(np.uint64))
-
-    def rolling(self, width: int) -> np.ndarray:
-        """Of every range of ``width`` bytes."""
+    def of(self, width: int) -> np.ndarray:
         if len(self._sum) <= width:
             return np.zeros(0, np.uint64)
         return mix((self._sum[width:] - self._sum[:-width]) * self._inv[: len(self._sum) - width])
 
 
+_P31 = np.uint64((1 << 31) - 1)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Less bits of the same residue."""
+    return (x & _P31) + (x >> np.uint64(31))
+
+
+def _mod31(x: np.ndarray) -> np.ndarray:
+    x = _fold(_fold(_fold(x)))
+    x[x >= _P31] -= _P31
+    return x
+
+
+@lru_cache(maxsize=16)
+def _powers31(base: int, n: int) -> np.ndarray:
+    out, have = np.ones(n, np.uint64), 1
+    step = base
+    while have < n:  # twice as many at a time
+        more = min(have, n - have)
+        out[have : have + more] = _mod31(out[:more] * np.uint64(step))
+        have += more
+        step = step * step % int(_P31)
+    return out
+
+
+def string_hashes(buf: np.ndarray, width: int, seed: int = 7, at_once: int = 1 << 15) -> np.ndarray:
+    """62-bit fingerprints of every range of ``width`` bytes: polynomials at two random places modulo the prime 2**31 - 1."""
+    n = max(len(buf) - width + 1, 0)
+    out = np.zeros(n, np.uint64)
+    rng = np.random.default_rng(seed)
+    prime, size = int(_P31), at_once + width
+    for _ in range(2):
+        base, table = int(rng.integers(1 << 20, prime - 1)), rng.integers(1, prime, 256, dtype=np.uint64)
+        up, down = _powers31(base, size), _powers31(pow(base, -1, prime), size)
+        for i in range(0, n, at_once):  # arrays that stay in the cache
+            own = buf[i : i + at_once + width - 1]
+            sums = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum(_fold(table[own] * up[: len(own)]), out=sums[1:])
+            value = _fold(_fold(sums[width:] - sums[:-width]))
+            value *= down[: len(value)]  # every range brought to the first one's power
+            out[i : i + at_once] <<= np.uint64(31)
+            out[i : i + at_once] |= _mod31(value)
+    return out
+
+
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import Fingerprints, flat, portions, small_batches, tidy, words_of
+from marlstone.llm.common import flat, portions, range_hashes, small_batches, tidy, words_of
 
 MAX_TRAIN, PAIRS, CUT, FOLDS = 6000, 4096, 0.3, 5
 
@@ -49,7 +49,7 @@ def features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     out[:, : KINDS * KINDS] = np.sqrt(table / np.maximum(size, 1)[:, None])
     start, end, first = words_of(buf, off)
     n = np.diff(first)
-    h = Fingerprints(buf, 31).of(start, end)
+    h = range_hashes(buf, start, end, 31)
     w = np.repeat(np.arange(rows), n)
     order = np.lexsort((h, w))
     hs, ws = h[order], w[order]
