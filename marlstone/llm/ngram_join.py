@@ -2,12 +2,15 @@
 
 1. Every text becomes its set of five-word shingle fingerprints, a signature and ``bands`` band hashes; bands and rows
    are chosen for a target recall at the threshold (``plan_bands``).
-2. Rows with equal sets form a class with one representative, so copies never meet each other again.
+2. Rows with equal sets form a class with one representative, so copies never meet each other again. Sets are told
+   apart by two sums over them, one of shingle fingerprints and one of others made with independent keys.
 3. Representatives are shuffled on (band, hash); a bucket hands on a star of edges, never its pairs. Components of
    those edges are what a representative could be linked to.
-4. Components are dealt in tiles of at most ``TILE`` x ``TILE`` members; a tile gets its members' texts, rebuilds the
-   full sets, and verifies every pair of it that shares a band, in memory. It returns counts of links and a spanning
-   forest of them, linear in its members. A component of any size is many tiles, so no group meets in one task.
+4. Components are dealt by hash in chunks of about ``TILE`` members, and pairs of chunks are tiles; a tile gets its
+   members' texts, rebuilds the full sets, and verifies every pair of it that shares a band, in memory. It returns
+   counts of links and a spanning forest of them, linear in its members. A component of any size is many tiles, so no
+   group meets in one task. Two texts are linked if they share a band and their full sets reach the threshold, whatever
+   component they are in; ``RECALL`` is the chance that a pair of just the threshold shares one.
 
 Defined results: words are runs of non-white-space, compared as they stand; null, empty or blank texts have no
 shingles: each is a class of its own with no links; a text of fewer than five words has one shingle, all its words;
@@ -22,14 +25,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import Fingerprints, flat, mix, portions, small_batches, stage, tidy, words_of
+from marlstone.llm.common import flat, mix, portions, range_hashes, small_batches, stage, tidy, words_of
 from marlstone.llm.components import components
 
-N, THRESHOLD, RECALL = 5, 0.8, 0.999
-TILE, SMALL = 256, 64
+N, THRESHOLD, RECALL = 5, 0.8, 0.999999
+TILE = 256
 
 
 def plan_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 256) -> tuple[int, int]:
@@ -43,26 +46,27 @@ def plan_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int =
     return best
 
 
-def shingles(buf: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprints, offsets): the distinct shingles of each row, sorted inside a row."""
+def shingles(buf: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprints, others of independent keys, offsets): the distinct shingles of each row, sorted inside a row."""
     start, end, first = words_of(buf, off)
-    w = Fingerprints(buf, 11).of(start, end)
+    w, v = range_hashes(buf, start, end, 11), range_hashes(buf, start, end, 977)
     rows = len(off) - 1
     count = np.diff(first)
     made = np.where(count >= n, count - n + 1, (count > 0).astype(np.int64))
     row = np.repeat(np.arange(rows), made)
     at = np.arange(len(row)) - np.repeat(np.cumsum(made) - made, made) + first[row]
-    h = np.zeros(len(row), np.uint64)
+    h, g = np.zeros(len(row), np.uint64), np.zeros(len(row), np.uint64)
     have = np.minimum(count, n)[row]
     for k in range(n):
-        use = have > k
+        use = slice(None) if len(have) and have.min() > k else np.flatnonzero(have > k)
         h[use] = mix(h[use] * np.uint64(0x9E3779B97F4A7C15) + w[at[use] + k] + np.uint64(k + 1))
+        g[use] += mix(v[at[use] + k] * np.uint64(2 * k + 3))
     order = np.lexsort((h, row))
-    h, row = h[order], row[order]
+    h, g, row = h[order], g[order], row[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    h, row = h[new], row[new]
-    return h, np.searchsorted(row, np.arange(rows + 1))
+    h, g, row = h[new], g[new], row[new]
+    return h, g, np.searchsorted(row, np.arange(rows + 1))
 
 
 def signatures(h: np.ndarray, off: np.ndarray, bands: int, rows: int, seed: int = 5) -> np.ndarray:
@@ -93,9 +97,9 @@ def _sign(batches, bands: int, rows: int):
     for batch in batches:
         buf, off = flat(batch.column(1))
         for i, j in portions(off):
-            h, so = shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            h, g, so = shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i])
             sig = signatures(h, so, bands, rows)
-            sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ np.uint64(s)))]) for s in (0x51ED27, 0xA3C59B)]
+            sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(x ^ np.uint64(s)))]) for x, s in ((h, 0x51ED27), (g, 0xA3C59B))]
             c1, c2 = (mix((s[so[1:]] - s[so[:-1]]) + np.diff(so).astype(np.uint64)).view(np.int64) for s in sums)
             arr = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * bands, pa.int32()), pa.array(sig.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(c1), pa.array(c2), pa.array(np.diff(so), pa.int64()), arr], names=["doc_id", "c1", "c2", "n_shingles", "bands"])
@@ -154,13 +158,11 @@ def _tile(table: pa.Table, threshold: float, bands: int, rows: int) -> pa.Table:
     ids = table.column("doc_id").to_numpy()
     chunk = table.column("chunk").to_numpy()
     buf, off = flat(table.column("text"))
-    h, so = shingles(buf, off)
+    h, _, so = shingles(buf, off)
     sig = signatures(h, so, bands, rows)
     n, one = len(ids), chunk.min() == chunk.max()
     left, right = np.flatnonzero(chunk == chunk.min()), np.flatnonzero(chunk == chunk.max())
     share = np.zeros((len(left), len(right)), bool)
-    if one and n <= SMALL:  # a small component is compared in full, whatever the bands say
-        share[:] = True
     for k in range(sig.shape[1]):
         share |= sig[left, k][:, None] == sig[right, k][None, :]
     if one and table.column("alone")[0].as_py():
@@ -195,10 +197,11 @@ def similar(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, r
     least = bucket.groupBy("band", "hash").agg(F.min("class_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     edges = bucket.join(least, ["band", "hash"]).where("class_id <> least").select(F.col("class_id").alias("a"), F.col("least").alias("b"))
     comp = stage(components(edges), "candidates")
-    # chunks of a component by rank; a tile is a pair of chunks
-    member = comp.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy("root").orderBy("node")) - 1) / tile).cast("int"))
-    last = member.groupBy("root").agg(F.max("chunk").alias("last"))
-    tiles = member.join(last, "root").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    # chunks of a component by hash, as many as its counted size asks for; a tile is a pair of chunks
+    large = comp.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("chunks")).where("chunks > 1")
+    member = comp.join(large, "root", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    member = member.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    tiles = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tiles = tiles.select(F.col("node").alias("doc_id"), "root", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") == F.col("other")).alias("alone"))
     texts = slim.join(comp.select(F.col("node").alias("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     dealt = tiles.join(texts, "doc_id").select("root", "i", "j", "doc_id", "chunk", "alone", "text")
