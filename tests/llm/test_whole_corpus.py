@@ -29,3 +29,20 @@ def test_every_copy_has_a_shard_and_a_place_in_it(spark):
     assert again == order
     first = [d for s, _, d in order if s == order[0][0]]
     assert len(first) > 5 and first != sorted(first)
+
+
+def test_equal_rows_are_decided_one_by_one(spark):
+    rows = [(1, "w " * 60, "a", "en")] * 1000 + [(2, "v " * 1200, "b", "en")] * 20 + [(2, "v " * 1200, "b", "de")] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    target = {"a": 108_000 * 5 / 7, "b": 108_000 * 2 / 7}
+    target["a"], target["b"] = min(target["a"], 180_000), min(target["b"], 144_000)
+    for carry in (False, True):
+        got = mixing.mix(df, carry=carry).collect()
+        assert len(got) == 1040 and all(r.taken == r.size * r.copies <= 3 * r.size for r in got)
+        for s, size in (("a", 60), ("b", 1200)):
+            assert 0 <= target[s] - sum(r.taken for r in got if r.source == s) < size
+        if carry:
+            assert sum(r.lang == "de" for r in got) == 20
+    many = spark.createDataFrame([(1, 5), (1, 6)], "doc_id long, _mix_key long").limit(1)
+    numbers = mixing._numbered(spark.createDataFrame([(1, 5, k) for k in range(5000)] + [(2, 5, 0)], "doc_id long, _mix_key long, k int").repartition(3), many).collect()
+    assert sorted(r._row for r in numbers) == list(range(1, 5001))
