@@ -54,9 +54,18 @@ def numbers(t: Column) -> Column:
 
 
 def bag_overlap(a: Column, b: Column) -> Column:
-    """Size of the intersection of two arrays as bags."""
-    count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
+    """Size of the intersection of two arrays as bags: both are sorted together and counted run by run."""
+    side = lambda arr, k: F.transform(arr, lambda x: F.struct(x.alias("x"), F.lit(k).alias("k")))
+    both = F.array_sort(F.concat(side(a, 0), side(b, 1)))
+    none = F.lit(0)
+
+    def step(s: Column, e: Column) -> Column:
+        same = s["x"] == e["x"]
+        add = lambda n, k: F.when(same, s[n]).otherwise(none) + F.when(e["k"] == k, 1).otherwise(0)
+        return F.struct(e["x"].alias("x"), add("a", 0).alias("a"), add("b", 1).alias("b"), (s["total"] + F.when(same, none).otherwise(F.least(s["a"], s["b"]))).alias("total"))
+
+    start = F.struct(F.lit("").alias("x"), none.alias("a"), none.alias("b"), none.alias("total"))
+    return F.aggregate(both, start, step, lambda s: s["total"] + F.least(s["a"], s["b"]))
 
 
 def numeric_fidelity(pred: Column, gt: Column) -> Column:

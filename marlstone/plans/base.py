@@ -14,12 +14,7 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("label").alias("slide_id"), (F.col("vec_id") % 32 * 512).alias("x"), (F.floor(F.col("vec_id") / 32) * 512).alias("y"))
 
 
-def every_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector as a query, with its place on the grid."""
     p = pool(spark, sf_dir)
     return p.select(F.col("id").alias("query_id"), F.col("vec").alias("query"), F.col("x").alias("qx"), F.col("y").alias("qy"))
-
-
-def vector_queries(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n)
-    return e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))

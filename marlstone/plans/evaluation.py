@@ -1,7 +1,5 @@
 """Evaluation metrics over paired texts and chains."""
 
-from functools import partial
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,83 +10,81 @@ from marlstone.plans.base import table
 c = F.col
 
 
-def _pairs(spark, sf, whole=False):
+def _pairs(spark, sf):
     """A user turn as prediction, the assistant turn after it as truth; some words are put in for the term metrics."""
     t = table(spark, sf, "conversations")
     nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     p = t.withColumn("gt", nxt).where("gt is not null")
     terms = F.array(*map(F.lit, (" no sign of carcinoma 3 mm", " carcinoma invasive 3mm, 12.5 %", " necrosis absent; carcinoma-free 7 cm", " polyp")))
-    text = c if whole else lambda n: F.substring(n, 1, 200)  # what the SQL reads
     k = (c("conv_id") + c("turn")) % 4
-    return p.select(c("conv_id").alias("case"), c("turn").alias("pos"), F.concat(text("text"), F.get(terms, k.cast("int"))).alias("pred"), F.concat(text("gt"), F.get(terms, ((k + c("turn")) % 4).cast("int"))).alias("gt"))
+    return p.select(c("conv_id").alias("case"), c("turn").alias("pos"), F.concat("text", F.get(terms, k.cast("int"))).alias("pred"), F.concat("gt", F.get(terms, ((k + c("turn")) % 4).cast("int"))).alias("gt"))
 
 
-def _chains(spark, sf, whole=False):
+def _chains(spark, sf):
     """Ordered (key, answer) of each user, predicted and true, from events."""
     e = table(spark, sf, "events")
-    e = e if whole else e.where("event_id % 3 <> 1")
     item = lambda a: F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.struct(c("event_type").alias("key"), a.alias("answer")).alias("s")))), lambda x: x["s"])
     a = F.concat(F.lit("Value "), (c("event_id") % 4).cast("string"))
     b = F.concat(F.lit("value. "), F.when(c("event_id") % 5 == 0, (c("event_id") % 3).cast("string")).otherwise((c("event_id") % 4).cast("string")))
     return e.groupBy((c("user_id") * 100 + F.floor(c("event_id") / 2500)).alias("case")).agg(item(a).alias("pred"), item(b).alias("gt"))
 
 
-def token_f1(spark, sf, whole=False):
-    return _pairs(spark, sf, whole).select("case", "pos", F.round(M.token_f1(c("pred"), c("gt")), 6).alias("f1"))
+def token_f1(spark, sf):
+    return _pairs(spark, sf).select("case", "pos", F.round(M.token_f1(c("pred"), c("gt")), 6).alias("f1"))
 
 
-def answer_recall(spark, sf, whole=False):
-    return _pairs(spark, sf, whole).select("case", "pos", F.round(M.answer_recall(c("pred"), c("gt")), 6).alias("recall"))
+def answer_recall(spark, sf):
+    return _pairs(spark, sf).select("case", "pos", F.round(M.answer_recall(c("pred"), c("gt")), 6).alias("recall"))
 
 
-def negation_consistency(spark, sf, whole=False):
-    return _pairs(spark, sf, whole).select("case", "pos", M.negation_consistency(c("pred"), c("gt")).alias("m")).select("case", "pos", F.round("m.score", 6).alias("score"), "m.n")
+def negation_consistency(spark, sf):
+    return _pairs(spark, sf).select("case", "pos", M.negation_consistency(c("pred"), c("gt")).alias("m")).select("case", "pos", F.round("m.score", 6).alias("score"), "m.n")
 
 
-def weighted_negation_mean(spark, sf, whole=False):
-    n = negation_consistency(spark, sf, whole)
+def weighted_negation_mean(spark, sf):
+    n = negation_consistency(spark, sf)
     return n.agg(F.round(F.try_divide(F.sum(c("score") * c("n")), F.sum("n")), 6).alias("mean"), F.sum("n").alias("n"))
 
 
-def numeric_fidelity(spark, sf, whole=False):
-    return _pairs(spark, sf, whole).select("case", "pos", F.round(M.numeric_fidelity(c("pred"), c("gt")), 6).alias("fidelity"))
+def numeric_fidelity(spark, sf):
+    return _pairs(spark, sf).select("case", "pos", F.round(M.numeric_fidelity(c("pred"), c("gt")), 6).alias("fidelity"))
 
 
 def bleu4(spark, sf):
-    return _pairs(spark, sf, True).select("case", "pos", F.round(M.bleu4(c("pred"), c("gt")), 6).alias("bleu"))
+    return _pairs(spark, sf).select("case", "pos", F.round(M.bleu4(c("pred"), c("gt")), 6).alias("bleu"))
 
 
 def rouge_l(spark, sf):
-    return M.rouge_l(_pairs(spark, sf, True), "pred", "gt").select("case", "pos", "rouge_l")
+    return M.rouge_l(_pairs(spark, sf), "pred", "gt").select("case", "pos", "rouge_l")
 
 
-def edge_f1(spark, sf, whole=False):
-    return _chains(spark, sf, whole).select("case", F.round(M.edge_f1(c("pred"), c("gt")), 6).alias("f1"))
+def edge_f1(spark, sf):
+    return _chains(spark, sf).select("case", F.round(M.edge_f1(c("pred"), c("gt")), 6).alias("f1"))
 
 
-def path_validity(spark, sf, whole=False):
+def path_validity(spark, sf):
     none = F.array().cast("array<string>")
     path = F.when(c("case") % 2 == 0, F.transform("gt", lambda s: s["key"])).otherwise(none)
-    return _chains(spark, sf, whole).select("case", M.path_valid(path, path, c("pred"), c("gt")).alias("valid"))
+    return _chains(spark, sf).select("case", M.path_valid(path, path, c("pred"), c("gt")).alias("valid"))
 
 
-def node_accuracy(spark, sf, whole=False):
-    return _chains(spark, sf, whole).select("case", F.round(M.node_accuracy(c("pred"), F.transform("gt", lambda s: F.struct(s["key"].alias("key"), F.replace(s["answer"], F.lit(".")).alias("answer")))), 6).alias("accuracy"))
+def node_accuracy(spark, sf):
+    return _chains(spark, sf).select("case", F.round(M.node_accuracy(c("pred"), F.transform("gt", lambda s: F.struct(s["key"].alias("key"), F.replace(s["answer"], F.lit(".")).alias("answer")))), 6).alias("accuracy"))
 
 
-def baseline_report(spark, sf, whole=False):
-    p = _pairs(spark, sf, whole).select((c("case") % 3).alias("baseline"), M.token_f1(c("pred"), c("gt")).alias("f1"), M.answer_recall(c("pred"), c("gt")).alias("recall"), M.numeric_fidelity(c("pred"), c("gt")).alias("num"))
+def baseline_report(spark, sf):
+    p = _pairs(spark, sf).select((c("case") % 3).alias("baseline"), M.token_f1(c("pred"), c("gt")).alias("f1"), M.answer_recall(c("pred"), c("gt")).alias("recall"), M.numeric_fidelity(c("pred"), c("gt")).alias("num"))
     return p.groupBy("baseline").agg(F.round(F.avg("f1"), 6).alias("f1"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("num"), 6).alias("num"), F.count(F.lit(1)).alias("n"))
 
 
-def corpus_bag_overlap(spark, sf, whole=False):
-    p = _pairs(spark, sf, whole)
+def corpus_bag_overlap(spark, sf):
+    p = _pairs(spark, sf)
     return p.select("case", "pos", M.bag_overlap(T.tokens(c("pred")), T.tokens(c("gt"))).alias("overlap"))
 
 
 _P = r"""p0 AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations),
- p1 AS (SELECT conv_id AS "case", turn AS pos, substring(text, 1, 200) || [' no sign of carcinoma 3 mm', ' carcinoma invasive 3mm, 12.5 %', ' necrosis absent; carcinoma-free 7 cm', ' polyp'][(conv_id + turn) % 4 + 1] AS pred,
- substring(g, 1, 200) || [' no sign of carcinoma 3 mm', ' carcinoma invasive 3mm, 12.5 %', ' necrosis absent; carcinoma-free 7 cm', ' polyp'][((conv_id + turn) % 4 + turn) % 4 + 1] AS gt FROM p0 WHERE g IS NOT NULL)"""
+ p1 AS (SELECT conv_id AS "case", turn AS pos, text || [' no sign of carcinoma 3 mm', ' carcinoma invasive 3mm, 12.5 %', ' necrosis absent; carcinoma-free 7 cm', ' polyp'][(conv_id + turn) % 4 + 1] AS pred,
+ g || [' no sign of carcinoma 3 mm', ' carcinoma invasive 3mm, 12.5 %', ' necrosis absent; carcinoma-free 7 cm', ' polyp'][((conv_id + turn) % 4 + turn) % 4 + 1] AS gt FROM p0 WHERE g IS NOT NULL)"""
 
 
 def _norm(col):
@@ -113,7 +109,7 @@ def _neg(w):
 
 
 _NEGQ = f'{_PW}, k AS (SELECT "case", pos, pw, gw, unnest([{_KW}]) AS kw FROM p), j AS (SELECT "case", pos, len(list_filter(pw, lambda x: starts_with(x, kw))) > 0 AND len(list_filter(gw, lambda x: starts_with(x, kw))) > 0 AS b2, {_neg("pw")} = {_neg("gw")} AS same FROM k), m AS (SELECT "case", pos, round(CASE WHEN count(*) FILTER (b2) = 0 THEN 1.0 ELSE count(*) FILTER (b2 AND same) / count(*) FILTER (b2) END, 6) AS score, CAST(count(*) FILTER (b2) AS INT) AS n FROM j GROUP BY ALL)'
-_CH = "e AS (SELECT user_id * 100 + event_id // 2500 AS \"case\", event_id, event_type AS key, 'value ' || (event_id % 4) AS a, 'value ' || CASE WHEN event_id % 5 = 0 THEN event_id % 3 ELSE event_id % 4 END AS b FROM events WHERE event_id % 3 <> 1)"
+_CH = "e AS (SELECT user_id * 100 + event_id // 2500 AS \"case\", event_id, event_type AS key, 'value ' || (event_id % 4) AS a, 'value ' || CASE WHEN event_id % 5 = 0 THEN event_id % 3 ELSE event_id % 4 END AS b FROM events)"
 ORACLES = {
     "token_f1": f'WITH {_PW}, s AS (SELECT "case", pos, {_SETS} FROM p) SELECT "case", pos, round({_F1}, 6) AS f1 FROM s',
     "answer_recall": f'WITH {_PW}, s AS (SELECT "case", pos, {_SETS} FROM p) SELECT "case", pos, round(CASE WHEN ng = 0 THEN 0.0 ELSE tp / ng END, 6) AS recall FROM s',
@@ -127,6 +123,3 @@ ORACLES = {
     "corpus_bag_overlap": f"WITH {_P}, t AS (SELECT \"case\", pos, regexp_extract_all(lower(pred), '[\\p{{L}}\\p{{N}}_]+') AS a, regexp_extract_all(lower(gt), '[\\p{{L}}\\p{{N}}_]+') AS b FROM p1) SELECT \"case\", pos, CAST(coalesce({_BAG.format('a', 'b')}, 0) AS INT) AS overlap FROM t",
 }
 QUERIES = {n: globals()[n] for n in [*ORACLES, "bleu4", "rouge_l"]}
-#: Whole texts and all events, as bleu4 and rouge_l; the queries with SQL keep what their SQL reads.
-WHOLE = "token_f1 answer_recall negation_consistency weighted_negation_mean numeric_fidelity baseline_report corpus_bag_overlap edge_f1 path_validity node_accuracy".split()
-QUERIES |= {f"{n}_whole": partial(globals()[n], whole=True) for n in WHOLE}

@@ -1,7 +1,5 @@
 """Decision graphs, knowledge graphs and event streams."""
 
-from functools import partial
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -59,35 +57,32 @@ def chain_violations(spark, sf):
     return G.chain_violations(s, _graph(spark)[1]).groupBy("node_id", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _kg(spark, sf, whole=False):
+def _kg(spark, sf):
     li, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
-    if not whole:  # what the SQL reads
-        li, part = li.where("l_orderkey <= 400"), part.where("p_partkey % 50 = 0 and p_partkey <= 1000")
     t = li.select(F.concat(F.lit("p"), c("l_partkey").cast("string")).alias("subj"), c("l_returnflag").alias("rel"), F.when(c("l_linenumber") == 5, F.concat(F.lit("p"), c("l_partkey").cast("string"))).otherwise(F.concat(F.lit("s"), c("l_suppkey").cast("string"))).alias("obj"))
     passages = li.select(F.concat(F.lit("o"), c("l_orderkey").cast("string")).alias("passage"), F.concat(F.lit("p"), c("l_partkey").cast("string")).alias("phrase")).distinct()
     syn = part.select(F.concat(F.lit("p"), c("p_partkey").cast("string")).alias("a"), F.concat(F.lit("p"), (c("p_partkey") + 1).cast("string")).alias("b"))
     return G.kg_edges(t, passages, syn)
 
 
-def kg_edges(spark, sf, whole=False):
-    return _kg(spark, sf, whole).groupBy("type", "label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src", "dst").alias("pairs"))
+def kg_edges(spark, sf):
+    return _kg(spark, sf).groupBy("type", "label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src", "dst").alias("pairs"))
 
 
-def _reset(spark, sf, whole=False):
+def _reset(spark, sf):
     li = table(spark, sf, "lineitem")
-    li = li if whole else li.where("l_orderkey <= 400")
     ph = li.select(F.concat(F.lit("p"), c("l_partkey").cast("string")).alias("node"), (c("l_discount") * 10 - 0.3).alias("score"))
     ps = li.groupBy(F.concat(F.lit("o"), c("l_orderkey").cast("string")).alias("node")).agg((F.avg("l_tax") - 0.03).alias("sim"))
     return G.reset_vector(ph.withColumn("score", F.round("score", 6)), ps.withColumn("sim", F.round("sim", 6)))
 
 
-def ppr_reset(spark, sf, whole=False):
+def ppr_reset(spark, sf):
     """Shares of a whole table's nodes are small, so they have more digits."""
-    return _reset(spark, sf, whole).select("node", F.round("reset", 12 if whole else 6).alias("reset"))
+    return _reset(spark, sf).select("node", F.round("reset", 9).alias("reset"))
 
 
 def ppr_scores(spark, sf):
-    return G.pagerank(_kg(spark, sf, True), _reset(spark, sf, True)).select("node", F.round("score", 9).alias("score"))
+    return G.pagerank(_kg(spark, sf), _reset(spark, sf)).select("node", F.round("score", 9).alias("score"))
 
 
 def graph_dot(spark, sf):
@@ -140,7 +135,7 @@ def resume_append(spark, sf):
 
 
 _E = "n(i, id, k) AS (VALUES " + ", ".join(f"({i}, '{n[0]}', '{n[1]}')" for i, n in enumerate(NODES)) + "), g(src, answer, dst) AS (VALUES " + ", ".join(f"('{n}', '{a}', '{d}')" for n, _, _, _, e in NODES for a, d in e.items()) + ")"
-_L = "l AS (SELECT * FROM lineitem WHERE l_orderkey <= 400), t AS (SELECT 'p' || l_partkey AS s, l_returnflag AS r, CASE WHEN l_linenumber = 5 THEN 'p' || l_partkey ELSE 's' || l_suppkey END AS o FROM l), c AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM l), y AS (SELECT 'p' || p_partkey AS a, 'p' || (p_partkey + 1) AS b FROM part WHERE p_partkey % 50 = 0 AND p_partkey <= 1000)"
+_L = "l AS (SELECT * FROM lineitem), t AS (SELECT 'p' || l_partkey AS s, l_returnflag AS r, CASE WHEN l_linenumber = 5 THEN 'p' || l_partkey ELSE 's' || l_suppkey END AS o FROM l), c AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM l), y AS (SELECT 'p' || p_partkey AS a, 'p' || (p_partkey + 1) AS b FROM part)"
 ORACLES = {
     "graph_violations": f"WITH {_E} SELECT 'dangling_edge' AS kind, src AS node_id, dst AS detail FROM g WHERE dst NOT IN (SELECT id FROM n) UNION ALL SELECT 'leaf_with_edge', src, answer FROM g WHERE src = 'report' UNION ALL SELECT 'option_without_edge', s, o FROM (VALUES ('start', 'view'), ('start', 'click'), ('start', 'error'), ('look', 'view'), ('look', 'click'), ('look', 'purchase'), ('act', 'purchase'), ('act', 'signup')) v(s, o) WHERE NOT EXISTS (SELECT 1 FROM g WHERE src = s AND answer = o)",
     "graph_walk": f"WITH RECURSIVE {_E}, a AS (SELECT user_id AS ca, id AS node, arg_min(event_type, event_id) AS answer FROM events JOIN n ON event_id % 7 = i GROUP BY 1, 2), h AS (SELECT ca, node, a.answer, dst FROM a LEFT JOIN g ON g.src = node AND g.answer = a.answer), w(ca, depth, node, path) AS (SELECT DISTINCT ca, 0, 'start', ['start'] FROM h UNION ALL SELECT w.ca, depth + 1, dst, list_append(path, dst) FROM w JOIN h ON h.ca = w.ca AND h.node = w.node WHERE dst IS NOT NULL AND depth < 63 AND NOT list_contains(path[1:len(path) - 1], w.node)) SELECT w.ca AS \"case\", depth, w.node AS node_id, h.answer, CASE WHEN list_contains(path[1:len(path) - 1], w.node) THEN 'cycle' WHEN dst IS NULL THEN 'end' ELSE 'step' END AS status FROM w LEFT JOIN h ON h.ca = w.ca AND h.node = w.node",
@@ -148,7 +143,7 @@ ORACLES = {
     "edge_route_default": f"WITH {_E} SELECT event_id, CASE k WHEN 'multi_select' THEN coalesce(d.dst, x.dst) WHEN 'free_text' THEN d.dst ELSE x.dst END AS next, k IN ('single_select', 'boolean') AND x.dst IS NULL AS invalid FROM events JOIN n ON event_id % 7 = i LEFT JOIN g x ON x.src = id AND x.answer = event_type LEFT JOIN g d ON d.src = id AND d.answer = '__default__'",
     "chain_violations": f"WITH {_E}, s AS (SELECT user_id, event_id, id, event_type, lead(id) OVER (PARTITION BY user_id ORDER BY event_id) AS nx FROM events JOIN n ON event_id % 7 = i) SELECT id AS node_id, nx AS dst, count(*) AS n FROM s WHERE nx IS NOT NULL AND NOT EXISTS (SELECT 1 FROM g WHERE src = id AND dst = nx AND answer IN (event_type, '__default__')) GROUP BY 1, 2",
     "kg_edges": f"WITH {_L}, e AS (SELECT s AS a, o AS b, 'relation' AS type, r AS label FROM t WHERE s <> o UNION ALL SELECT o, s, 'relation', 'inv_' || r FROM t WHERE s <> o UNION ALL SELECT a, b, 'contains', 'contains' FROM c UNION ALL SELECT b, a, 'is_in', 'is_in' FROM c UNION ALL SELECT a, b, 'synonym', 'synonym' FROM y UNION ALL SELECT b, a, 'synonym', 'synonym' FROM y) SELECT type, label, count(*) AS n, count(DISTINCT (a, b)) AS pairs FROM e GROUP BY 1, 2",
-    "ppr_reset": "WITH l AS (SELECT * FROM lineitem WHERE l_orderkey <= 400), b AS (SELECT 'p' || l_partkey AS node, avg(round(l_discount * 10 - 0.3, 6)) AS m FROM l GROUP BY 1 ORDER BY m DESC, node LIMIT 5), v AS (SELECT node, greatest(0.0, m) AS v FROM b UNION ALL SELECT 'o' || l_orderkey, 0.05 * greatest(0.0, round(avg(l_tax) - 0.03, 6)) FROM l GROUP BY l_orderkey) SELECT node, round(sum(v) / sum(sum(v)) OVER (), 6) AS reset FROM v GROUP BY node",
+    "ppr_reset": "WITH l AS (SELECT * FROM lineitem), b AS (SELECT 'p' || l_partkey AS node, avg(round(l_discount * 10 - 0.3, 6)) AS m FROM l GROUP BY 1 ORDER BY m DESC, node LIMIT 5), v AS (SELECT node, greatest(0.0, m) AS v FROM b UNION ALL SELECT 'o' || l_orderkey, 0.05 * greatest(0.0, round(avg(l_tax) - 0.03, 6)) FROM l GROUP BY l_orderkey) SELECT node, round(sum(v) / sum(sum(v)) OVER (), 9) AS reset FROM v GROUP BY node",
     "first_option_backend": "SELECT o_orderkey, o_orderstatus AS raw, 1.0::DOUBLE AS confidence FROM orders",
     "event_windows_batch": "WITH w AS (SELECT date_trunc('hour', ts) AS s, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2) SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(s + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS \"end\", event_type, n, total FROM w WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)",
     "event_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events), s AS (SELECT user_id, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), n AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS events, max(n) AS largest FROM n GROUP BY 1",
@@ -157,5 +152,3 @@ ORACLES = {
 }
 ORACLES["event_windows"] = ORACLES["event_windows_batch"]
 QUERIES = {n: globals()[n] for n in [*ORACLES, "ppr_scores", "graph_dot"]}
-#: From all of lineitem and part, as ppr_scores; the queries with SQL keep the rows that their SQL names.
-QUERIES |= {f"{n}_whole": partial(globals()[n], whole=True) for n in ("kg_edges", "ppr_reset")}

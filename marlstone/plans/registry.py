@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("retrieval_vectors", "work_items", "text_and_ir", "evaluation", "graphs_and_streams", "record_queries")
+MODULES: tuple[str, ...] = ("retrieval_vectors", "work_items", "text_and_ir", "evaluation", "graphs_and_streams", "record_queries", "agent_work", "work_lists")
 
 
 def _modules():

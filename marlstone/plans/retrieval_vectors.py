@@ -1,15 +1,13 @@
 """Vector retrieval and tile geometry queries."""
 
-from functools import partial
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.operators import geometry as G
 from marlstone.operators import vectors as R
-from marlstone.plans.base import every_vector, pool, table, vector_queries
+from marlstone.plans.base import pool, table, vector_queries
 
-POOL = "p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label AS slide_id, (vec_id % 32) * 512 AS x, (vec_id // 32) * 512 AS y FROM embeddings), q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv, (vec_id % 32) * 512 AS qx, (vec_id // 32) * 512 AS qy FROM embeddings WHERE vec_id < 5)"
+POOL = "p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label AS slide_id, (vec_id % 32) * 512 AS x, (vec_id // 32) * 512 AS y FROM embeddings), q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv, (vec_id % 32) * 512 AS qx, (vec_id // 32) * 512 AS qy FROM embeddings)"
 COS = "round(list_inner_product(v, qv) / ((sqrt(list_inner_product(v, v)) + 1e-8) * (sqrt(list_inner_product(qv, qv)) + 1e-8)), 6)"
 SCORED = f"{POOL}, s AS (SELECT query_id, id, slide_id, x, y, qx, qy, {COS} AS sim FROM p, q)"
 
@@ -18,48 +16,11 @@ def _top(where="", by="query_id", k=5, extra=""):
     return f"WITH {SCORED}{extra} SELECT query_id, id, sim, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY sim DESC, id) AS rank FROM s {where}) WHERE rank <= {k}"
 
 
-def cosine_topk(spark, sf):
-    return R.topk(pool(spark, sf), vector_queries(spark, sf), 5).select("query_id", "id", "sim", "rank")
-
-
-def cosine_topk_per_label(spark, sf):
-    s = R.similarities(pool(spark, sf), vector_queries(spark, sf))
-    return R.rank(s, ["query_id", "slide_id"], 3).select("query_id", "slide_id", "id", "sim", "rank")
-
-
-def cosine_topk_excluding(spark, sf):
-    p, q = pool(spark, sf), vector_queries(spark, sf)
-    seen = q.select("query_id", F.explode(F.array(F.col("query_id"), F.col("query_id") + 10, F.lit(7).cast("long"))).alias("id"))
-    return R.topk(p, q, 5, exclude=seen).select("query_id", "id", "sim", "rank")
-
-
-def _anchored(spark, sf, least):
-    p, q = pool(spark, sf), vector_queries(spark, sf)
-    s = R.similarities(p, q).withColumns({"qx": F.col("query_id") % 32 * 512, "qy": F.floor(F.col("query_id") / 32) * 512})
-    s = s.withColumn("d", F.sqrt(((F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))).cast("double")))
-    return s, least
-
-
-def anchor_min_distance_topk(spark, sf):
-    s, least = _anchored(spark, sf, 2048.0)
-    return R.rank(R.away_from(s, least, relax=False), ["query_id"], 5).select("query_id", "id", "sim", "rank")
-
-
-def anchor_relax_topk(spark, sf):
-    s, least = _anchored(spark, sf, 30000.0)
-    return R.rank(R.away_from(s, least), ["query_id"], 5).select("query_id", "id", "sim", "rank")
-
-
 def _centres(spark, sf):
     p = pool(spark, sf)
     return p, R.representatives(p, R.mean_pool(p, "slide_id"), "slide_id")
 
 
-def representative_pool_topk(spark, sf):
-    p, reps = _centres(spark, sf)
-    return R.topk(p, vector_queries(spark, sf), 3, within=reps).select("query_id", "id", "sim", "rank")
-
-
 def similar_pairs(spark, sf):
     return R.similar_pairs(pool(spark, sf), 0.45).select("id_a", "id_b", "sim")
 
@@ -74,41 +35,41 @@ def nearest_centroid(spark, sf):
 
 
 def diverse_topk(spark, sf):
-    return R.diverse_nearest(pool(spark, sf), every_vector(spark, sf), 1024.0, 5)
+    return R.diverse_nearest(pool(spark, sf), vector_queries(spark, sf), 1024.0, 5)
 
 
-def cosine_topk_whole(spark, sf):
-    return R.nearest(pool(spark, sf), every_vector(spark, sf), 5).select("query_id", "id", "sim", "rank")
+def cosine_topk(spark, sf):
+    return R.nearest(pool(spark, sf), vector_queries(spark, sf), 5).select("query_id", "id", "sim", "rank")
 
 
-def cosine_topk_per_label_whole(spark, sf):
-    return R.nearest(pool(spark, sf), every_vector(spark, sf), 3, by="slide_id").select("query_id", "slide_id", "id", "sim", "rank")
+def cosine_topk_per_label(spark, sf):
+    return R.nearest(pool(spark, sf), vector_queries(spark, sf), 3, by="slide_id").select("query_id", "slide_id", "id", "sim", "rank")
 
 
-def cosine_topk_excluding_whole(spark, sf):
+def cosine_topk_excluding(spark, sf):
     def unseen(asked, given):
         q, p = asked.column("query_id").to_numpy()[:, None], given.column("id").to_numpy()[None, :]
         return (p != q) & (p != q + 10) & (p != 7)
 
-    return R.nearest(pool(spark, sf), every_vector(spark, sf), 5, keep=unseen).select("query_id", "id", "sim", "rank")
+    return R.nearest(pool(spark, sf), vector_queries(spark, sf), 5, keep=unseen).select("query_id", "id", "sim", "rank")
 
 
 def _away(spark, sf, least):
-    return R.nearest(pool(spark, sf), every_vector(spark, sf), 5, keep=lambda asked, given: R.distances(asked, given) >= least).select("query_id", "id", "sim", "rank")
+    return R.nearest(pool(spark, sf), vector_queries(spark, sf), 5, keep=lambda asked, given: R.distances(asked, given) >= least).select("query_id", "id", "sim", "rank")
 
 
-def anchor_min_distance_topk_whole(spark, sf):
+def anchor_min_distance_topk(spark, sf):
     return _away(spark, sf, 2048.0)
 
 
-def anchor_relax_topk_whole(spark, sf):
+def anchor_relax_topk(spark, sf):
     far = _away(spark, sf, 30000.0)
     return far.union(_away(spark, sf, 15000.0).join(far.select("query_id").distinct(), "query_id", "left_anti"))
 
 
-def representative_pool_topk_whole(spark, sf):
+def representative_pool_topk(spark, sf):
     p, reps = _centres(spark, sf)
-    return R.nearest(p.join(reps.select("id").distinct(), "id", "left_semi"), every_vector(spark, sf), 3).select("query_id", "id", "sim", "rank")
+    return R.nearest(p.join(reps.select("id").distinct(), "id", "left_semi"), vector_queries(spark, sf), 3).select("query_id", "id", "sim", "rank")
 
 
 def kmeans_sizes(spark, sf):
@@ -140,9 +101,8 @@ def stratified_sample(spark, sf):
     return G.stratified_sample(_coords(spark, sf), 100, 4, 4, 512)
 
 
-def encode_policy(spark, sf, whole=False):
-    xy = _coords(spark, sf) if whole else _coords(spark, sf).where("ord < 20000")  # what the SQL reads
-    n = xy.groupBy("slide_id").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
+def encode_policy(spark, sf):
+    n = _coords(spark, sf).groupBy("slide_id").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
     return n.withColumn("policy", G.encode_policy(F.col("n"), 100, 200))
 
 
@@ -174,7 +134,7 @@ def hsv_mask(spark, sf):
 
 
 _SLIDES = "s AS (SELECT n_nationkey::BIGINT AS slide_id, 2000 + n_nationkey * 300 AS w, 1500 + n_nationkey * 200 AS h FROM nation), g AS (SELECT slide_id, w, h, x, y, row_number() OVER (PARTITION BY slide_id ORDER BY y, x) - 1 AS ord FROM (SELECT slide_id, w, h, unnest(range(0, greatest(w - 512 + 1, 1), 512)) AS x, h AS hh FROM s) JOIN (SELECT slide_id AS s2, unnest(range(0, greatest(h - 512 + 1, 1), 512)) AS y FROM s) ON slide_id = s2)"
-_C = "c AS (SELECT o_custkey % 7 AS slide_id, o_orderkey AS ord, o_orderkey * 7919 % 40000 AS x, o_orderkey * 104729 % 30000 AS y FROM orders WHERE o_orderkey < 20000)"
+_C = "c AS (SELECT o_custkey % 7 AS slide_id, o_orderkey AS ord, o_orderkey * 7919 % 40000 AS x, o_orderkey * 104729 % 30000 AS y FROM orders)"
 ORACLES = {
     "cosine_topk": _top(),
     "cosine_topk_per_label": _top(by="query_id, slide_id", k=3).replace("SELECT query_id, id", "SELECT query_id, slide_id, id"),
@@ -193,7 +153,11 @@ ORACLES = {
     "hsv_mask": "WITH e AS (SELECT n_nationkey AS slide_id, x, y, (x * 37 + y * 11) % 256 AS r, (x * 29 + n_nationkey * 50) % 256 AS g, (y * 53 + 20) % 256 AS b FROM nation, (SELECT unnest(range(0, 16)) AS x), (SELECT unnest(range(0, 12)) AS y) WHERE n_nationkey < 4), m AS (SELECT slide_id, x, y, greatest(r, g, b) / 255.0 AS hi, least(r, g, b) / 255.0 AS lo FROM e), w AS (SELECT slide_id, x, y, CASE WHEN round(CASE WHEN hi > 1e-6 THEN (hi - lo) / (hi + 1e-8) ELSE 0 END, 9) >= 0.08 AND round(hi, 9) <= 0.95 THEN 1 ELSE 0 END AS raw FROM m), d AS (SELECT a.slide_id, a.x, a.y, max(b.raw) AS v FROM w a JOIN w b ON a.slide_id = b.slide_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY ALL), f AS (SELECT a.slide_id, a.x, a.y, min(b.v) AS v FROM d a JOIN d b ON a.slide_id = b.slide_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY ALL) SELECT w.slide_id, CAST(w.x AS INT) AS x, CAST(w.y AS INT) AS y, raw, v AS mask FROM w JOIN f USING (slide_id, x, y)",
 }
 ORACLES["representative_pool_topk"] = f"WITH {SCORED}, r AS ({ORACLES['nearest_centroid']}) SELECT query_id, id, sim, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM s WHERE id IN (SELECT id FROM r)) WHERE rank <= 3"
+ORACLES["stratified_sample"] = f"""WITH {_C}, g AS (SELECT *, count(*) OVER s AS n, least(floor((x - min(x) OVER s)::DOUBLE / greatest(max(x) OVER s - min(x) OVER s, 1) * 4), 3) AS gx, least(floor((y - min(y) OVER s)::DOUBLE / greatest(max(y) OVER s - min(y) OVER s, 1) * 4), 3) AS gy FROM c WINDOW s AS (PARTITION BY slide_id)),
+ k AS (SELECT *, dense_rank() OVER (PARTITION BY slide_id ORDER BY gy, gx) - 1 AS cell, row_number() OVER (PARTITION BY slide_id, gy, gx ORDER BY ord) - 1 AS r, count(*) OVER (PARTITION BY slide_id, gy, gx) AS m FROM g),
+ q AS (SELECT *, 100 // (max(cell) OVER s + 1) + CASE WHEN cell < 100 % (max(cell) OVER s + 1) THEN 1 ELSE 0 END AS quota FROM k WINDOW s AS (PARTITION BY slide_id)),
+ f AS (SELECT *, n <= 100 OR (quota > 0 AND (quota >= m OR (r % greatest(m // greatest(quota, 1), 1) = 0 AND r // greatest(m // greatest(quota, 1), 1) < quota))) AS first FROM q),
+ t AS (SELECT *, 100 - count(*) FILTER (first) OVER (PARTITION BY slide_id) AS need, count(*) FILTER (NOT first) OVER (PARTITION BY slide_id) AS rest, row_number() OVER (PARTITION BY slide_id, first ORDER BY ord) - 1 AS lr FROM f)
+ SELECT slide_id, ord, x, y FROM t WHERE first OR (need > 0 AND lr % greatest(rest // greatest(need, 1), 1) = 0 AND lr // greatest(rest // greatest(need, 1), 1) < need)"""
 _NAMES = "cosine_topk cosine_topk_per_label cosine_topk_excluding anchor_min_distance_topk anchor_relax_topk representative_pool_topk similar_pairs mean_pool_by_label nearest_centroid diverse_topk kmeans_sizes tile_grid tissue_fraction stratified_sample encode_policy zoom_recentre parent_tiles grandparent_chain hsv_mask".split()
-#: Every vector as a query; the queries with SQL keep the few that their SQL names.
-WHOLE = "cosine_topk_whole cosine_topk_per_label_whole cosine_topk_excluding_whole anchor_min_distance_topk_whole anchor_relax_topk_whole representative_pool_topk_whole".split()
-QUERIES = {n: globals()[n] for n in [*_NAMES, *WHOLE]} | {"encode_policy_whole": partial(encode_policy, whole=True)}
+QUERIES = {n: globals()[n] for n in _NAMES}

@@ -1,13 +1,11 @@
 """Text functions, lexical and hybrid retrieval."""
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.operators import retrieval as R
 from marlstone.operators import vectors as V
-from marlstone.plans.base import every_vector, pool, table, vector_queries
+from marlstone.plans.base import pool, table, vector_queries
 
 c = F.col
 OPTIONS = ("serous_carcinoma", "endometrioid carcinoma", "Clear-cell", "none_of_above")
@@ -18,9 +16,8 @@ def metric_normalize(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.metric_normalize(F.regexp_replace(c("text"), r"\|", " 3.5mm, well-known ")).alias("norm"))
 
 
-def canonical_key(spark, sf, whole=False):
-    part = (lambda t, n: c(t)) if whole else lambda t, n: F.substring(t, 1, n)  # what the SQL reads
-    return table(spark, sf, "documents").select("doc_id", T.canonical_key(part("text", 60)).alias("key"), T.safe_name(part("source", 20)).alias("safe"))
+def canonical_key(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.canonical_key(c("text")).alias("key"), T.safe_name(c("source")).alias("safe"))
 
 
 def _answers(spark, sf):
@@ -56,9 +53,9 @@ def label_parse(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", T.label_parse(F.get(v, (c("o_orderkey") % 4).cast("int")), LABELS).alias("label"))
 
 
-def qa_pairs(spark, sf, whole=False):
+def qa_pairs(spark, sf):
     d = table(spark, sf, "documents")
-    t = F.when(c("doc_id") % 3 == 0, c("text") if whole else F.substring("text", 1, 30)).otherwise(F.concat(F.lit("Q1: what "), c("lang"), F.lit("\nA1: it: "), c("source"), F.lit("\nA2: lost\nQ2: more\n\nA2: yes\nFINAL: "), c("lang")))
+    t = F.when(c("doc_id") % 3 == 0, c("text")).otherwise(F.concat(F.lit("Q1: what "), c("lang"), F.lit("\nA1: it: "), c("source"), F.lit("\nA2: lost\nQ2: more\n\nA2: yes\nFINAL: "), c("lang")))
     return d.select("doc_id", F.posexplode(T.qa_pairs(t)).alias("pos", "s")).select("doc_id", "pos", "s.node_id", "s.question", "s.answer")
 
 
@@ -72,12 +69,8 @@ def _docs(spark, sf):
     return table(spark, sf, "documents").select(c("doc_id").alias("id"), "text", "source", "lang")
 
 
-def _every_query(spark, sf):
-    return table(spark, sf, "benchmark").select(c("item_id").alias("query_id"), c("text").alias("query"))
-
-
 def _queries(spark, sf):
-    return _every_query(spark, sf).where("query_id < 12")
+    return table(spark, sf, "benchmark").select(c("item_id").alias("query_id"), c("text").alias("query"))
 
 
 def _lexical(spark, sf, asked, k=20):
@@ -88,33 +81,16 @@ def bm25_topk(spark, sf):
     return _lexical(spark, sf, _queries(spark, sf), 5).select("query_id", "id", "score", "rank")
 
 
-def bm25_topk_whole(spark, sf):
-    return _lexical(spark, sf, _every_query(spark, sf), 5).select("query_id", "id", "score", "rank")
-
-
-def _dense(spark, sf):
-    p = pool(spark, sf).select("id", "vec")
-    return V.rank(V.similarities(p, vector_queries(spark, sf)), ["query_id"], 20).select("query_id", "id", "rank")
-
-
 def _fused(spark, sf):
-    return R.fuse([(_dense(spark, sf), 0.65), (_lexical(spark, sf, _queries(spark, sf).where("query_id < 5")), 0.35)])
-
-
-def _fused_whole(spark, sf):
     """Every item and every vector; a query that is only one of them has the ranks of that side."""
-    dense = V.nearest(pool(spark, sf), every_vector(spark, sf), 20).select("query_id", "id", "rank")
-    return R.fuse([(dense, 0.65), (_lexical(spark, sf, _every_query(spark, sf)), 0.35)])
+    dense = V.nearest(pool(spark, sf), vector_queries(spark, sf), 20).select("query_id", "id", "rank")
+    return R.fuse([(dense, 0.65), (_lexical(spark, sf, _queries(spark, sf)), 0.35)])
 
 
 def rrf_fusion(spark, sf):
     return _fused(spark, sf).where("rank <= 10").select("query_id", "id", "score", "rank")
 
 
-def rrf_fusion_whole(spark, sf):
-    return _fused_whole(spark, sf).where("rank <= 10").select("query_id", "id", "score", "rank")
-
-
 def leak_guard(spark, sf):
     d = _docs(spark, sf)
     ex = F.concat_ws(";", F.lit(" src1 "), F.lit("7"), F.lit("src3,9"))
@@ -131,10 +107,6 @@ def reference_rerank(spark, sf):
     return _reranked(spark, sf, _queries(spark, sf))
 
 
-def reference_rerank_whole(spark, sf):
-    return _reranked(spark, sf, _every_query(spark, sf))
-
-
 def _hybrid(spark, sf, f):
     d = _docs(spark, sf).select("id", "source", (c("source") == "src2").alias("is_reference"), F.lit(False).alias("node_match"))
     return R.rerank(f.join(d, "id").where(~R.leaks(F.lit("src1;src5"), c("source"))).withColumn("prefer", F.lit(True)), 5).select("query_id", "id", c("new_rank").alias("rank"))
@@ -144,22 +116,18 @@ def hybrid_topk(spark, sf):
     return _hybrid(spark, sf, _fused(spark, sf))
 
 
-def hybrid_topk_whole(spark, sf):
-    return _hybrid(spark, sf, _fused_whole(spark, sf))
-
-
 def corpus_fingerprint(spark, sf):
     return R.fingerprint(_docs(spark, sf), {"model": "none"}, buckets=16)
 
 
 _BM = """d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
  p AS (SELECT term, id, count(*) AS tf, any_value(l) AS len FROM (SELECT id, len(w) AS l, unnest(w) AS term FROM d) GROUP BY term, id), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
- q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM benchmark WHERE item_id < 12),
+ q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM benchmark),
  b AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 6) AS score FROM q JOIN df USING (term) JOIN p USING (term), st GROUP BY query_id, id),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b)"""
-_DENSE = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), ds AS (SELECT a.id AS query_id, b.id, round(list_inner_product(a.v, b.v) / ((sqrt(list_inner_product(a.v, a.v)) + 1e-8) * (sqrt(list_inner_product(b.v, b.v)) + 1e-8)), 6) AS sim FROM e a, e b WHERE a.id < 5), dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM ds), fu AS (SELECT query_id, id, round(sum(x), 9) AS score FROM (SELECT query_id, id, 0.65 / (60 + rank) AS x FROM dr WHERE rank <= 20 UNION ALL SELECT query_id, id, 0.35 / (60 + rank) FROM r WHERE rank <= 20 AND query_id < 5) GROUP BY ALL), fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fu)"
+_DENSE = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), ds AS (SELECT a.id AS query_id, b.id, round(list_inner_product(a.v, b.v) / ((sqrt(list_inner_product(a.v, a.v)) + 1e-8) * (sqrt(list_inner_product(b.v, b.v)) + 1e-8)), 6) AS sim FROM e a, e b), dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM ds), fu AS (SELECT query_id, id, round(sum(x), 9) AS score FROM (SELECT query_id, id, 0.65 / (60 + rank) AS x FROM dr WHERE rank <= 20 UNION ALL SELECT query_id, id, 0.35 / (60 + rank) FROM r WHERE rank <= 20) GROUP BY ALL), fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fu)"
 ORACLES = {
-    "canonical_key": "SELECT doc_id, regexp_replace(regexp_replace(lower(trim(substring(text, 1, 60))), '[\\s\\-]+', '_', 'g'), '[^a-z0-9_]', '', 'g') AS key, regexp_replace(substring(source, 1, 20), '[^A-Za-z0-9._-]+', '_', 'g') AS safe FROM documents",
+    "canonical_key": "SELECT doc_id, regexp_replace(regexp_replace(lower(trim(text)), '[\\s\\-]+', '_', 'g'), '[^a-z0-9_]', '', 'g') AS key, regexp_replace(source, '[^A-Za-z0-9._-]+', '_', 'g') AS safe FROM documents",
     "soft_json": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN json_extract_string(props, '$.k')::INT END AS k, props AS plain FROM events",
     "null_like_clean": "WITH v AS (SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 2 THEN 'x' END AS v FROM orders) SELECT o_orderkey, v, coalesce(v, 'N.A.') AS na FROM v",
     "token_list": "SELECT o_orderkey, array_to_string([o_orderstatus, o_orderpriority, (o_orderkey % 9)::VARCHAR], '|') AS tokens FROM orders",
@@ -169,7 +137,7 @@ ORACLES = {
  SELECT event_id, CASE k WHEN 2 THEN ['{"answer": "Serous Carcinoma"}', 'Answer: clear cell.', 'it is an endometrioid carcinoma here', '"none_of_above"', 'carcinoma', 'serous carcinoma and clear-cell', NULL, 'yes', 'label: Endometrioid, serous'][r + 1]
   WHEN 1 THEN ['serous_carcinoma', 'Clear-cell', 'endometrioid carcinoma,serous_carcinoma', 'none_of_above', 'endometrioid carcinoma,serous_carcinoma', 'Clear-cell,serous_carcinoma', NULL, NULL, 'endometrioid carcinoma,serous_carcinoma'][r + 1]
   ELSE ['serous_carcinoma', 'Clear-cell', 'endometrioid carcinoma', 'none_of_above', NULL, NULL, NULL, NULL, NULL][r + 1] END AS answer FROM a""",
-    "qa_pairs": """WITH d AS (SELECT doc_id, lang, source, substring(text, 1, 30) AS t FROM documents), s AS (
+    "qa_pairs": """WITH d AS (SELECT doc_id, lang, source, text AS t FROM documents), s AS (
  SELECT doc_id, 0 AS pos, 'naive_oneshot' AS node_id, 'Thumbnail-only diagnosis (no graph)' AS question, trim(t) AS answer FROM d WHERE doc_id % 3 = 0
  UNION ALL SELECT doc_id, 0, 'naive_q1', 'what ' || lang, 'it: ' || source FROM d WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 1, 'naive_q2', 'more', 'yes' FROM d WHERE doc_id % 3 <> 0
  UNION ALL SELECT doc_id, 2, 'naive_final', 'Final impression', lang FROM d WHERE doc_id % 3 <> 0) SELECT * FROM s""",
@@ -185,8 +153,4 @@ ORACLES = {
  k AS (SELECT doc_id, array_to_string(list_transform(range(1, len(cs) + 1), lambda i: CASE WHEN regexp_matches(cs[i], '[^\p{L}\p{N}_\s]') AND NOT regexp_matches(coalesce(cs[i - 1], ''), '\p{Nd}') AND NOT regexp_matches(coalesce(cs[i + 1], ''), '\p{Nd}') THEN '' ELSE cs[i] END), '') AS t FROM b)
  SELECT doc_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS norm FROM k""",
 }
-#: Every benchmark item and vector as a query; the queries with SQL keep the few that their SQL names.
-WHOLE = ("bm25_topk_whole", "reference_rerank_whole", "rrf_fusion_whole", "hybrid_topk_whole")
-QUERIES = {n: globals()[n] for n in [*ORACLES, *WHOLE]}
-#: Whole texts.
-QUERIES |= {f"{n}_whole": partial(globals()[n], whole=True) for n in ("canonical_key", "qa_pairs")}
+QUERIES = {n: globals()[n] for n in ORACLES}

@@ -1,7 +1,5 @@
 """Joins, manifests, windows and set operations over work items."""
 
-from functools import partial
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -123,22 +121,21 @@ def train_test_size(spark, sf):
     return R.train_test(table(spark, sf, "customer").select("c_custkey"), "c_custkey").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _steps(spark, sf, whole=False):
+def _steps(spark, sf):
     t = table(spark, sf, "conversations")
-    text = lambda n: c("text") if whole else F.substring("text", 1, n)  # noqa: E731  # what the SQL reads
-    return t.select(c("conv_id").alias("case"), c("turn").alias("pos"), F.when(c("turn") % 5 == 3, F.lit(None)).otherwise(F.concat_ws("_", "role", c("turn").cast("string"))).alias("node_id"), text(12).alias("question"), F.when(c("turn") % 4 == 2, F.lit("")).otherwise(text(6)).alias("answer"))
+    return t.select(c("conv_id").alias("case"), c("turn").alias("pos"), F.when(c("turn") % 5 == 3, F.lit(None)).otherwise(F.concat_ws("_", "role", c("turn").cast("string"))).alias("node_id"), c("text").alias("question"), F.when(c("turn") % 4 == 2, F.lit("")).otherwise(c("text")).alias("answer"))
 
 
-def prior_context(spark, sf, whole=False):
-    return C.prior_context(_steps(spark, sf, whole)).select("case", "pos", "context")
+def prior_context(spark, sf):
+    return C.prior_context(_steps(spark, sf)).select("case", "pos", "context")
 
 
-def last4_context(spark, sf, whole=False):
-    return C.prior_context(_steps(spark, sf, whole), 4).select("case", "pos", "context")
+def last4_context(spark, sf):
+    return C.prior_context(_steps(spark, sf), 4).select("case", "pos", "context")
 
 
-def next_question_lead(spark, sf, whole=False):
-    return C.next_question(_steps(spark, sf, whole)).select("case", "pos", "next_question")
+def next_question_lead(spark, sf):
+    return C.next_question(_steps(spark, sf)).select("case", "pos", "next_question")
 
 
 def latest_anchor(spark, sf):
@@ -166,9 +163,8 @@ def reindex_sorted(spark, sf):
     return C.reindex(n, "number", "slide_id")
 
 
-def inner_loop(spark, sf, whole=False):
+def inner_loop(spark, sf):
     e = table(spark, sf, "events")
-    e = e if whole else e.where("event_id % 2 = 0")
     it = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id")) - 1
     s = e.select(c("user_id").alias("case"), c("event_type").alias("node_id"), it.alias("iter"), F.array((c("event_id") % 9).cast("int"), (c("event_id") % 5).cast("int")).alias("patch_ids"), (c("value") > 15).alias("sufficient"))
     return C.inner_loop(s).select("case", "node_id", "iter", "sufficient", F.array_join("excluded", ",").alias("excluded"))
@@ -189,7 +185,7 @@ _AGREE = """k AS (SELECT c_custkey FROM customer), t AS (SELECT c_custkey::VARCH
  x AS (SELECT c_custkey AS row_id, c_custkey::VARCHAR AS token FROM k UNION ALL SELECT c_custkey, (c_custkey + 1)::VARCHAR FROM k WHERE c_custkey % 3 = 0),
  a AS (SELECT row_id, CASE WHEN count(*) = count(case_key) AND count(DISTINCT case_key) = 1 THEN min(case_key) END AS case_key FROM x LEFT JOIN t USING (token) GROUP BY row_id),
  m AS (SELECT row_id, a.case_key, split, split IS NOT NULL AS mapped FROM a LEFT JOIN s ON a.case_key = s.case_key)"""
-_STEP = "s AS (SELECT conv_id AS \"case\", turn AS pos, CASE WHEN turn % 5 = 3 THEN NULL ELSE role || '_' || turn END AS node_id, substring(text, 1, 12) AS question, CASE WHEN turn % 4 = 2 THEN '' ELSE substring(text, 1, 6) END AS answer FROM conversations), f AS (SELECT *, CASE WHEN coalesce(node_id, '') <> '' AND coalesce(answer, '') <> '' THEN node_id || '=' || answer END AS said FROM s)"
+_STEP = "s AS (SELECT conv_id AS \"case\", turn AS pos, CASE WHEN turn % 5 = 3 THEN NULL ELSE role || '_' || turn END AS node_id, text AS question, CASE WHEN turn % 4 = 2 THEN '' ELSE text END AS answer FROM conversations), f AS (SELECT *, CASE WHEN coalesce(node_id, '') <> '' AND coalesce(answer, '') <> '' THEN node_id || '=' || answer END AS said FROM s)"
 _NAMED = "n AS (SELECT s_suppkey AS ord, s_name AS slide_id, 'disk_' || (s_suppkey % 50) AS disk_name, 'SP-' || s_suppkey AS specimen FROM supplier)"
 _EV = "row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id)"
 ORACLES = {
@@ -217,11 +213,8 @@ ORACLES = {
     "strided_pick": "SELECT o_orderpriority, o_orderkey FROM (SELECT *, count(*) OVER (PARTITION BY o_orderpriority) AS n, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS r FROM orders) WHERE r % greatest(n // 20, 1) = 0 AND r // greatest(n // 20, 1) < 20",
     "linspace_pick": "SELECT o_orderpriority, o_orderkey FROM (SELECT *, count(*) OVER (PARTITION BY o_orderpriority) AS n, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS r FROM orders) WHERE r IN (SELECT i * (n - 1) // 6 FROM (SELECT unnest(range(7)) AS i))",
     "reindex_sorted": "SELECT CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey % 40 END AS number, s_name AS slide_id, CAST(row_number() OVER (ORDER BY coalesce(CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey % 40 END, 1000000000), s_name) - 1 AS INT) AS idx FROM supplier",
-    "inner_loop": f"WITH s AS (SELECT user_id AS \"case\", event_type AS node_id, {_EV} - 1 AS iter, event_id % 9 AS p, event_id % 5 AS q, value > 15 AS sufficient FROM events WHERE event_id % 2 = 0), t AS (SELECT *, min(CASE WHEN sufficient THEN iter END) OVER (PARTITION BY \"case\", node_id) AS stop FROM s), r AS (SELECT * FROM t WHERE iter < 3 AND (stop IS NULL OR iter <= stop)), u AS (SELECT \"case\", node_id, iter, p AS x FROM r UNION ALL SELECT \"case\", node_id, iter, q FROM r) SELECT r.\"case\", r.node_id, CAST(r.iter AS INT) AS iter, sufficient, coalesce((SELECT string_agg(x::VARCHAR, ',' ORDER BY x) FROM (SELECT DISTINCT x FROM u WHERE u.\"case\" = r.\"case\" AND u.node_id = r.node_id AND u.iter < r.iter)), '') AS excluded FROM r",
+    "inner_loop": f"WITH s AS (SELECT user_id AS \"case\", event_type AS node_id, {_EV} - 1 AS iter, event_id % 9 AS p, event_id % 5 AS q, value > 15 AS sufficient FROM events), t AS (SELECT *, min(CASE WHEN sufficient THEN iter END) OVER (PARTITION BY \"case\", node_id) AS stop FROM s), r AS (SELECT * FROM t WHERE iter < 3 AND (stop IS NULL OR iter <= stop)), u AS (SELECT \"case\", node_id, iter, p AS x FROM r UNION ALL SELECT \"case\", node_id, iter, q FROM r) SELECT r.\"case\", r.node_id, CAST(r.iter AS INT) AS iter, sufficient, coalesce((SELECT string_agg(x::VARCHAR, ',' ORDER BY x) FROM (SELECT DISTINCT x FROM u WHERE u.\"case\" = r.\"case\" AND u.node_id = r.node_id AND u.iter < r.iter)), '') AS excluded FROM r",
     "accuracy_grouping_sets": "SELECT l_returnflag AS interaction, l_linestatus AS node, count(*) FILTER (l_quantity > 25) AS n_correct, count(*) AS n, round(avg((l_quantity > 25)::INT), 6) AS accuracy FROM lineitem GROUP BY GROUPING SETS ((), (l_returnflag), (l_linestatus))",
     "branch_choice": "SELECT o_orderkey, concat_ws(',', CASE WHEN o_totalprice < 50000 THEN 'cheap' END, CASE WHEN o_orderstatus = 'F' THEN 'final' END, CASE WHEN o_custkey % 2 = 0 THEN 'even' END) AS reason FROM orders",
 }
 QUERIES = {n: globals()[n] for n in ORACLES}
-#: All events and whole texts; the queries with SQL keep what their SQL reads.
-WHOLE = ("prior_context", "last4_context", "next_question_lead", "inner_loop")
-QUERIES |= {f"{n}_whole": partial(globals()[n], whole=True) for n in WHOLE}

@@ -47,14 +47,14 @@ def test_every_vector_is_a_query(spark, vectors):
     far = {q: d[i] >= 30000 if (d[i] >= 30000).any() else d[i] >= 15000 for i, q in enumerate(ids)}
     reps = {r.id for r in registry.queries()["nearest_centroid"](spark, SF).collect()}
     cases = {
-        "cosine_topk_whole": (5, lambda i, q: np.ones(len(ids), bool)), "cosine_topk_excluding_whole": (5, lambda i, q: ~np.isin(ids, [q, q + 10, 7])),
-        "anchor_min_distance_topk_whole": (5, lambda i, q: d[i] >= 2048), "anchor_relax_topk_whole": (5, lambda i, q: far[q]), "representative_pool_topk_whole": (3, lambda i, q: np.isin(ids, list(reps))),
+        "cosine_topk": (5, lambda i, q: np.ones(len(ids), bool)), "cosine_topk_excluding": (5, lambda i, q: ~np.isin(ids, [q, q + 10, 7])),
+        "anchor_min_distance_topk": (5, lambda i, q: d[i] >= 2048), "anchor_relax_topk": (5, lambda i, q: far[q]), "representative_pool_topk": (3, lambda i, q: np.isin(ids, list(reps))),
     }
     for name, (k, ok) in cases.items():
         want = {q: w for i, q in enumerate(ids) if (w := best(ids, sim[i], ok(i, q), k))}
         assert by_query(run(spark, name)) == want, name
     got = defaultdict(list)
-    for r in sorted(run(spark, "cosine_topk_per_label_whole"), key=lambda r: r["rank"]):
+    for r in sorted(run(spark, "cosine_topk_per_label"), key=lambda r: r["rank"]):
         got[r.query_id, r.slide_id].append(r.id)
     assert got == {(q, v): best(ids, sim[i], label == v, 3) for i, q in enumerate(ids) for v in set(label)}
 
@@ -108,13 +108,13 @@ def bm25_twin(spark):
 
 def test_every_benchmark_item_is_a_query(spark, vectors):
     want = bm25_twin(spark)
-    assert by_query(run(spark, "bm25_topk_whole")) == {q: [i for i, _ in w[:5]] for q, w in want.items() if w}
+    assert by_query(run(spark, "bm25_topk")) == {q: [i for i, _ in w[:5]] for q, w in want.items() if w}
     info = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     again = {}
     for q, w in want.items():
         key = lambda x: (not (q % 2 == 0 and info[x[1]].source in ("src0", "src4")), not (q % 2 == 0 and info[x[1]].lang == "fr"), x[0])
         again[q] = [i for _, i in sorted(enumerate(i for i, _ in w[:20]), key=key)][: 2 if q % 3 == 0 else 8]
-    assert by_query(run(spark, "reference_rerank_whole")) == {q: w for q, w in again.items() if w}
+    assert by_query(run(spark, "reference_rerank")) == {q: w for q, w in again.items() if w}
     ids, _, _, sim = vectors
     fused = {}
     for n, q in enumerate(ids):
@@ -124,10 +124,10 @@ def test_every_benchmark_item_is_a_query(spark, vectors):
         for r, (i, _) in enumerate(want.get(q, [])[:20]):
             s[i] += 0.35 / (61 + r)
         fused[q] = sorted(s, key=lambda i: (-round(s[i], 9), i))
-    assert by_query(run(spark, "rrf_fusion_whole")) == {q: w[:10] for q, w in fused.items()}
+    assert by_query(run(spark, "rrf_fusion")) == {q: w[:10] for q, w in fused.items()}
     ok = lambda i: i in info and info[i].source not in ("src1", "src5")
     hybrid = {q: sorted((i for i in w if ok(i)), key=lambda i: (info[i].source != "src2", w.index(i)))[:5] for q, w in fused.items()}
-    assert by_query(run(spark, "hybrid_topk_whole")) == {q: w for q, w in hybrid.items() if w}
+    assert by_query(run(spark, "hybrid_topk")) == {q: w for q, w in hybrid.items() if w}
 
 
 def test_graph_holds_all_of_lineitem_and_part(spark):
@@ -145,7 +145,7 @@ def test_graph_holds_all_of_lineitem_and_part(spark):
     want = defaultdict(list)
     for t, label, a, b in edges:
         want[t, label].append((a, b))
-    assert {(r.type, r.label): (r.n, r.pairs) for r in run(spark, "kg_edges_whole")} == {k: (len(v), len(set(v))) for k, v in want.items()}
+    assert {(r.type, r.label): (r.n, r.pairs) for r in run(spark, "kg_edges")} == {k: (len(v), len(set(v))) for k, v in want.items()}
 
     phrase, passage = defaultdict(list), defaultdict(list)
     for r in li:
@@ -155,7 +155,7 @@ def test_graph_holds_all_of_lineitem_and_part(spark):
     reset = {k: max(0.0, -m) for m, k in top} | {k: 0.05 * max(0.0, round(sum(v) / len(v) - 0.03, 6)) for k, v in passage.items()}
     total = sum(reset.values())
     reset = {k: v / total for k, v in reset.items()}
-    got = {r.node: r.reset for r in run(spark, "ppr_reset_whole")}
+    got = {r.node: r.reset for r in run(spark, "ppr_reset")}
     assert got.keys() == reset.keys() and all(got[k] == pytest.approx(v, abs=1e-7) for k, v in reset.items())
 
     out = defaultdict(list)
@@ -186,7 +186,7 @@ def test_metrics_score_whole_texts(spark):
     raw = defaultdict(dict)
     for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
         raw[r.conv_id][r.turn] = r.text
-    pairs = {(r.case, r.pos): (r.pred, r.gt) for r in E._pairs(spark, SF, True).collect()}
+    pairs = {(r.case, r.pos): (r.pred, r.gt) for r in E._pairs(spark, SF).collect()}
     for (conv, turn), (pred, gt) in pairs.items():
         later = min(t for t in raw[conv] if t > turn)
         assert pred.startswith(raw[conv][turn]) and gt.startswith(raw[conv][later])
@@ -203,17 +203,17 @@ def test_metrics_score_whole_texts(spark):
                 row.append(old[j] + 1 if x == y else max(row[-1], old[j + 1]))
         lcs[k] = 2 * row[-1] / (len(a) + len(b))
         bag[k] = sum((Counter(re.findall(r"\w+", pred.lower())) & Counter(re.findall(r"\w+", gt.lower()))).values())
-    for name, col, want in (("token_f1_whole", "f1", f1), ("answer_recall_whole", "recall", recall), ("rouge_l", "rouge_l", lcs), ("corpus_bag_overlap_whole", "overlap", bag)):
+    for name, col, want in (("token_f1", "f1", f1), ("answer_recall", "recall", recall), ("rouge_l", "rouge_l", lcs), ("corpus_bag_overlap", "overlap", bag)):
         got = {(r.case, r.pos): r[col] for r in run(spark, name)}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-6) for k, v in want.items()), name
     one = spark.createDataFrame([(*k, *v) for k, v in pairs.items()], "case long, pos long, pred string, gt string")
-    for name, col, f in (("negation_consistency_whole", "score", M.negation_consistency), ("numeric_fidelity_whole", "fidelity", M.numeric_fidelity), ("bleu4", "bleu", M.bleu4)):
+    for name, col, f in (("negation_consistency", "score", M.negation_consistency), ("numeric_fidelity", "fidelity", M.numeric_fidelity), ("bleu4", "bleu", M.bleu4)):
         x = f(F.col("pred"), F.col("gt"))
         want = {(r.case, r.pos): r.x for r in one.select("case", "pos", F.round(x["score"] if col == "score" else x, 6).alias("x")).collect()}
         assert {(r.case, r.pos): r[col] for r in run(spark, name)} == want, name
-    assert sum(r.n for r in run(spark, "baseline_report_whole")) == len(pairs)
-    n = [(r.score, r.n) for r in run(spark, "negation_consistency_whole")]
-    (m,) = run(spark, "weighted_negation_mean_whole")
+    assert sum(r.n for r in run(spark, "baseline_report")) == len(pairs)
+    n = [(r.score, r.n) for r in run(spark, "negation_consistency")]
+    (m,) = run(spark, "weighted_negation_mean")
     assert m.n == sum(k for _, k in n) and m["mean"] == pytest.approx(sum(s * k for s, k in n) / m.n, abs=1e-6)
 
 
@@ -229,7 +229,7 @@ def test_chains_hold_every_event(spark):
         valid[k] = k % 2 == 0 or all(x == y for _, x, y in v)
         last = {t: x == y for t, x, y in v}
         accuracy[k] = sum(last.values()) / len(last)
-    for name, col, want in (("edge_f1_whole", "f1", f1), ("path_validity_whole", "valid", valid), ("node_accuracy_whole", "accuracy", accuracy)):
+    for name, col, want in (("edge_f1", "f1", f1), ("path_validity", "valid", valid), ("node_accuracy", "accuracy", accuracy)):
         got = {r.case: r[col] for r in run(spark, name)}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-6) for k, v in want.items()), name
 
@@ -241,30 +241,30 @@ def test_coordinates_come_from_all_orders(spark, monkeypatch):
     orders = spark.createDataFrame([(i * 100, i) for i in range(1, 1001)], "o_orderkey long, o_custkey long")
     monkeypatch.setattr(retrieval_vectors, "table", lambda *a: orders)
     n = Counter(i % 7 for i in range(1, 1001))
-    assert {r.slide_id: r.n for r in retrieval_vectors.encode_policy(spark, SF, whole=True).collect()} == n
+    assert {r.slide_id: r.n for r in retrieval_vectors.encode_policy(spark, SF).collect()} == n
     got = retrieval_vectors.stratified_sample(spark, SF).collect()
     assert Counter(r.slide_id for r in got) == {k: 100 for k in n} and max(r.ord for r in got) > 20000
 
 
 def test_records_hold_whole_tables_and_texts(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    hits = {r.query_id: r.context for r in run(spark, "format_hits_whole")}
+    hits = {r.query_id: r.context for r in run(spark, "format_hits")}
     assert hits.keys() == {i // 30 for i in docs}
     for q, got in hits.items():
         assert got == "\n---\n".join(f"[{i % 30}] {docs[i].source}\n{docs[i].text}" for i in sorted(docs) if i // 30 == q)
-    keys = {r.doc_id: r.key for r in run(spark, "canonical_key_whole")}
+    keys = {r.doc_id: r.key for r in run(spark, "canonical_key")}
     assert keys == {i: re.sub(r"[^a-z0-9_]", "", re.sub(r"[ \t\n\x0b\f\r\-]+", "_", d.text.strip(" ").lower())) for i, d in docs.items()}
-    answers = {r.doc_id: r.answer for r in run(spark, "qa_pairs_whole") if r.node_id == "naive_oneshot"}
+    answers = {r.doc_id: r.answer for r in run(spark, "qa_pairs") if r.node_id == "naive_oneshot"}
     assert answers == {i: docs[i].text.strip() for i in answers} and len(answers) >= len(docs) // 4
     vectors = [r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
-    assert {r["rank"] for r in run(spark, "flatten_evidence_whole")} == set(vectors)
+    assert {r["rank"] for r in run(spark, "flatten_evidence")} == set(vectors)
     names = {r.c_custkey: r.c_name for r in spark.read.parquet(f"{SF}/customer.parquet").collect()}
-    assert {r.s_suppkey: r.c_name for r in run(spark, "specimen_key_join_whole")} == {r.s_suppkey: names.get(r.s_suppkey) for r in spark.read.parquet(f"{SF}/supplier.parquet").collect()}
+    assert {r.s_suppkey: r.c_name for r in run(spark, "specimen_key_join")} == {r.s_suppkey: names.get(r.s_suppkey) for r in spark.read.parquet(f"{SF}/supplier.parquet").collect()}
     talk = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
-    for r in run(spark, "next_question_lead_whole"):
+    for r in run(spark, "next_question_lead"):
         later = [t for k, t in talk if k == r.case and t > r.pos]
         assert not r.next_question or r.next_question in {talk[r.case, t] for t in later}
-    assert max(len(r.prompt) for r in run(spark, "step_prompts_whole")) > 300
+    assert max(len(r.prompt) for r in run(spark, "step_prompts")) > 300
 
 
 def test_inner_loop_runs_over_every_event(spark):
@@ -280,4 +280,4 @@ def test_inner_loop_runs_over_every_event(spark):
             seen |= {r.event_id % 9, r.event_id % 5}
             if r.value > 15:
                 break
-    assert {(r.case, r.node_id, r.iter, r.sufficient, r.excluded) for r in run(spark, "inner_loop_whole")} == want
+    assert {(r.case, r.node_id, r.iter, r.sufficient, r.excluded) for r in run(spark, "inner_loop")} == want
