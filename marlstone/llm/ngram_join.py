@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import flat, mix, portions, range_hashes, small_batches, stage, tidy, words_of
-from marlstone.llm.components import components
+from marlstone.llm.components import components, with_least
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999999
 TILE = 256
@@ -194,8 +194,7 @@ def similar(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, r
     full = signed.where("n_shingles > 0")
     classes = stage(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands")), "classes")
     bucket = classes.where(F.col("class_id").isNotNull()).select("class_id", F.posexplode("bands").alias("band", "hash"))
-    least = bucket.groupBy("band", "hash").agg(F.min("class_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    edges = bucket.join(least, ["band", "hash"]).where("class_id <> least").select(F.col("class_id").alias("a"), F.col("least").alias("b"))
+    edges = with_least(bucket, ["band", "hash"], "class_id", bands * classes.count(), 2).where("class_id <> m").select(F.col("class_id").alias("a"), F.col("m").alias("b"))
     comp = stage(components(edges), "candidates")
     # chunks of a component by hash, as many as its counted size asks for; a tile is a pair of chunks
     large = comp.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("chunks")).where("chunks > 1")

@@ -90,7 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_html_extract": op3_html_extract,
     "op4_repeats": op4_repeats,
-    "op4_repeats": op4_repeats,
     "op5_byte_model": op5_byte_model,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,

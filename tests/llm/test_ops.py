@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import decontaminate as D
 from marlstone.llm import elias_fano, html_extract, language_id, mixing, ngram_join, quality_classifier, quality_rules, repeats, token_files
-from marlstone.llm.components import components
+from marlstone.llm.components import components, with_least
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -101,6 +101,26 @@ def test_components_of_a_path_and_a_star(spark):
     assert {got[i] for i in range(31)} == {0} and {got[i] for i in range(100, 120)} == {100}
 
 
+def test_components_through_hot_nodes(spark):
+    rng = np.random.default_rng(4)
+    e = [(5000 - i, 5000) for i in range(1, 1200)] + [(9000, 9000 + i) for i in range(1, 700)] + [(4999, 9001)]
+    e += [(int(a), int(b)) for a, b in rng.integers(20000, 20400, (150, 2))]
+    root = {x: x for pair in e for x in pair}
+    for _ in range(400):
+        for a, b in e:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {x: r for x, r in root.items() if any(x in (a, b) and a != b for a, b in e)}
+    assert {r.node: r.root for r in components(spark.createDataFrame(e, "a long, b long").repartition(5)).collect()} == want
+
+
+def test_least_of_hot_and_cold_keys(spark):
+    rows = [(1, i) for i in range(300)] + [(2, i + 7) for i in range(100)] + [(3, 5), (3, 4), (4, 9)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    want = {1: 0, 2: 7, 3: 4, 4: 9}
+    assert sorted(map(tuple, with_least(df, ["k"], "v", len(rows)).select("k", "v", "m").collect())) == sorted((k, v, want[k]) for k, v in rows)
+    assert sorted(map(tuple, with_least(df, ["k"], "v", len(rows), 2).select("k", "v", "m").collect())) == sorted((k, v, want[k]) for k, v in rows if k != 4)
+
+
 # -- decontamination ---------------------------------------------------------
 
 
