@@ -8,46 +8,29 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import stage
 
 
-HOT_KEYS = 10_000
-
-
-def with_least(rows: DataFrame, keys: list[str], value: str, total: int, fewest: int = 1) -> DataFrame:
-    """``rows`` with ``m``, the least ``value`` of their keys; keys of less than ``fewest`` rows go. Keys with more than one in HOT_KEYS of the ``total`` rows
-    (at least that many as there are; 100 rows a key or more) are at most HOT_KEYS, so their minima are broadcast and
-    their rows spread by value; the rows of all other keys are joined by shuffle."""
-    most = F.lit(max(100, total // HOT_KEYS))
-    least = rows.groupBy(*keys).agg(F.min(value).alias("m"), F.count(F.lit(1)).alias("_n"))
-    hot = F.broadcast(least.where(F.col("_n") > most).select(*keys, F.col("m").alias("_hot")))
-    # not a literal, which the optimizer would take out of the join's keys
-    cold = least.where(F.col("_n").between(F.lit(fewest), most)).select(*keys, "m", F.least("_n", F.lit(0)).cast("long").alias("_spread"))
-    spread = rows.join(hot, keys, "left").withColumn("_spread", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.xxhash64(value)))
-    return spread.join(cold, [*keys, "_spread"], "left").withColumn("m", F.coalesce("_hot", "m")).drop("_hot", "_spread").where("m is not null")
-
-
-def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Each node hands its smallest neighbour to its larger (``large``) or smaller neighbours and itself."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    joined = with_least(both, ["a"], "b", total).withColumn("m", F.least("a", "m"))
-    out = joined.where(F.col("b") > F.col("a")) if large else joined
-    near = out.select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return (near if large else near.union(joined.select("a", F.col("m").alias("b")))).where(F.col("a") != F.col("b")).distinct()
+    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    joined = both.join(least, "a")
+    out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")) if large else joined.select("b", "m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+    return out.where(F.col("a") != F.col("b")).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b longs): root is the least node of its component.
 
-    Rounds are logarithmic in the diameter; no group of a component is ever brought into one task, hot nodes are
-    pre-aggregated and their edges spread over tasks (:func:`with_least`). Edges with a null or equal ends are ignored.
+    Rounds are logarithmic in the diameter; no text of a component is ever brought into one task. Minima
+    are pre-aggregated, but a hot node's edges, two longs each, meet its minimum in one task. Edges with a null or equal ends are ignored.
     """
     now = stage(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before, rows = None, now.count()
+    before = None
     for _ in range(most_rounds):
-        now = stage(_star(now, True, 2 * rows), "edges")  # no star has more rows; one plan a star, so that plans stay small
-        now = stage(_star(now, False, 2 * rows), "edges")
+        now = stage(_star(_star(now, True), False), "edges")
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == before:
             break
-        before, rows = mark, mark.n
+        before = mark
     else:
         raise RuntimeError("components did not converge")
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
