@@ -45,18 +45,25 @@ def is_tissue(pixels: Column, background: int = 220) -> Column:
     return F.aggregate(pixels, F.lit(0.0), lambda a, x: a + x) / F.size(pixels) <= background
 
 
-def evidence(asked: DataFrame, cache: DataFrame, patches: DataFrame, k: int = 3) -> DataFrame:
+#: Tasks that slides are dealt to: a task with few slides repeats few values, which columnar files write once.
+SLIDE_TASKS = 256
+
+
+def evidence(asked: DataFrame, cache: DataFrame, patches: DataFrame, k: int = 3, form=lambda paths: paths) -> DataFrame:
     """A row a row of ``asked`` (slide_id, node_id, method, policy): what its provider hands over. ``cache`` has slide_id,
     thumbnail, embedding (null where missing), ``patches`` slide_id, rank, path. Every provider but ``none`` shows the
     thumbnail; ``patch_retrieve`` adds patches where the node's policy asks for them; ``slide_embed`` adds the embedding's
-    width and the first ``k`` patches. A slide without a cache gets an empty bundle; an unknown method is an error."""
-    first = patches.groupBy("slide_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda s: s["path"]).alias("_paths"))
-    rows = asked.join(cache, "slide_id", "left").join(first, "slide_id", "left")
+    width and the first ``k`` patches. A slide without a cache gets an empty bundle; an unknown method is an error.
+    ``form`` makes of an array of paths what ``paths`` shows, once a slide."""
+    of = patches.groupBy("slide_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda s: s["path"]).alias("_paths"))
+    first = of.select("slide_id", form(F.col("_paths")).alias("_all"), F.size("_paths").alias("_n"), form(F.slice("_paths", 1, k)).alias("_first"), F.least(F.size("_paths"), F.lit(k)).alias("_k"))
+    rows = asked.repartition(SLIDE_TASKS, "slide_id").join(cache, "slide_id", "left").join(first, "slide_id", "left")
     known = F.when(F.col("method").isin(*METHODS), F.col("method")).otherwise(F.raise_error(F.concat(F.lit("unknown visual provider: "), F.coalesce("method", F.lit("null")))).cast("string"))
     rows = rows.withColumn("method", known)
     none = F.array().cast("array<string>")
-    paths = F.coalesce("_paths", none)
-    shown = F.when((F.col("method") == "patch_retrieve") & needs_patches(F.col("policy")), paths).when(F.col("method") == "slide_embed", F.slice(paths, 1, k)).otherwise(none)
+    whole, part = (F.col("method") == "patch_retrieve") & needs_patches(F.col("policy")), F.col("method") == "slide_embed"
+    shown = F.coalesce(F.when(whole, F.col("_all")).when(part, F.col("_first")), form(none))
+    n = F.coalesce(F.when(whole, F.col("_n")).when(part, F.col("_k")), F.lit(0))
     return rows.select(
         "slide_id",
         "node_id",
@@ -64,7 +71,7 @@ def evidence(asked: DataFrame, cache: DataFrame, patches: DataFrame, k: int = 3)
         F.when(F.col("method") != "none", F.col("thumbnail")).alias("thumbnail"),
         F.when((F.col("method") == "slide_embed") & F.col("embedding").isNotNull(), F.size("embedding")).alias("embedding_dim"),
         shown.alias("paths"),
-        F.size(shown).alias("n_paths"),
+        n.alias("n_paths"),
     )
 
 

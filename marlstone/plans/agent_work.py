@@ -35,7 +35,7 @@ def visual_evidence(spark, sf):
     s = table(spark, sf, "supplier").where("s_suppkey % 3 <> 0")
     cache = s.select(c("s_suppkey").alias("slide_id"), F.when(c("s_suppkey") % 5 != 0, F.concat(F.lit("t/"), c("s_suppkey").cast("string"))).alias("thumbnail"), F.when(c("s_suppkey") % 2 == 0, F.array_repeat(F.lit(0.5), (c("s_suppkey") % 7 + 1).cast("int"))).alias("embedding"))
     patches = table(spark, sf, "part").select((c("p_partkey") % 100).alias("slide_id"), (-c("p_size")).alias("rank"), F.concat(F.lit("p/"), F.lpad(c("p_partkey").cast("string"), 9, "0")).alias("path"))
-    return V.evidence(asked, cache, patches).select("node_id", "slide_id", "method", "thumbnail", "embedding_dim", F.array_join("paths", ",").alias("paths"), "n_paths")
+    return V.evidence(asked, cache, patches, form=lambda paths: F.array_join(paths, ",")).select("node_id", "slide_id", "method", "thumbnail", "embedding_dim", "paths", "n_paths")
 
 
 def selection_records(spark, sf):

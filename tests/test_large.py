@@ -32,3 +32,15 @@ def test_memory_of_cases_in_many_frames_and_files(spark, tmp_path, files):
         want[user, i] = "; ".join(said[user])
         said[user] += [f"{kind}=a{i % 3}"] if kind else []
     assert got == want
+
+
+def test_evidence_files_hold_a_slides_paths_once(spark, tmp_path):
+    spark.range(200_000).where("id % 100 <> 59").selectExpr("id AS p_partkey", "cast(id % 50 AS int) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(60).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(9_600).selectExpr("id AS event_id", "id div 16 AS user_id").write.parquet(f"{tmp_path}/events.parquet")
+    out = tmp_path / "out"
+    registry.queries()["visual_evidence"](spark, str(tmp_path)).write.parquet(str(out))
+    got = spark.read.parquet(str(out)).where("n_paths > 3").selectExpr("count(*)", "count(distinct paths)", "sum(length(paths))").first()
+    assert tuple(got) == (1180, 59, 1180 * (2000 * 12 - 1))  # 28 MB
+    assert spark.read.parquet(str(out)).where("slide_id = 59 AND n_paths + length(paths) > 0").isEmpty()
+    assert sum(f.stat().st_size for f in out.iterdir()) < 3_000_000
