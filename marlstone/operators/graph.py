@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.sources.scratch import shared
+from marlstone.sources.scratch import folder, shared
 
 MAX_STEPS = 64
 
@@ -99,11 +99,117 @@ def _ppr_numpy(src, dst, reset, damping, rounds):
 
 
 SMALL_EDGES = 100_000
+#: Nodes whose scores, 8 bytes each, are one vector on the driver and in each task. Beyond: joins.
+VECTOR_NODES = 16_000_000
+#: Edges of a block of neighbouring numbers, about, and those whose numbers a task holds before it deals them to blocks.
+BLOCK_EDGES, HELD_EDGES = 2_000_000, 1_000_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def pagerank(edges: DataFrame, reset: DataFrame, damping: float = 0.5, rounds: int = 20, small_edges: int = SMALL_EDGES) -> DataFrame:
+def _write(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as files in the shared folder; shuffles that made it go at once."""
+    spark, path = df.sparkSession, folder(df.sparkSession, name)
+    old = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, old)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _dealt(numbers, width: int):
+    """Edges of hashes to chunks of numbers by block of their end."""
+
+    def chunks(src, dst):
+        src, dst = np.searchsorted(numbers.value, np.concatenate(src)).astype("<i4"), np.searchsorted(numbers.value, np.concatenate(dst)).astype("<i4")
+        order = np.argsort(dst, kind="stable")
+        src, dst = src[order], dst[order]
+        blocks, at = np.unique(dst // width, return_index=True)
+        ends = [*at[1:], len(dst)]
+        return pa.RecordBatch.from_pydict({"block": pa.array(blocks, pa.int32()), "src": pa.array([src[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()), "dst": pa.array([dst[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())})
+
+    def run(batches):
+        src, dst, held = [], [], 0
+        for b in batches:
+            src.append(b["s"].to_numpy())
+            dst.append(b["d"].to_numpy())
+            held += b.num_rows
+            if held >= HELD_EDGES:
+                yield chunks(src, dst)
+                src, dst, held = [], [], 0
+        if held:
+            yield chunks(src, dst)
+
+    return run
+
+
+def _block(table: pa.Table) -> pa.Table:
+    """A block's edges in order of their ends, in pieces: the ends' numbers, their edges' starts, the edges' sources."""
+    src, dst = (np.concatenate([np.frombuffer(x, "<i4") for x in table[k].to_pylist()]) for k in ("src", "dst"))
+    order = np.lexsort((src, dst))
+    src, dst = src[order], dst[order]
+    rows = {"ends": [], "starts": [], "src": []}
+    for i in range(0, len(dst), HELD_EDGES):
+        ends, starts = np.unique(dst[i : i + HELD_EDGES], return_index=True)
+        for k, x in zip(rows, (ends, starts.astype("<i4"), src[i : i + HELD_EDGES])):
+            rows[k].append(x.tobytes())
+    return pa.table({k: pa.array(v, pa.binary()) for k, v in rows.items()})
+
+
+def _flows(given):
+    def run(batches):
+        for b in batches:
+            for ends, starts, src in zip(*(b[k] for k in ("ends", "starts", "src"))):
+                at, of = np.frombuffer(starts.as_buffer(), "<i4"), np.frombuffer(src.as_buffer(), "<i4")
+                yield pa.RecordBatch.from_pydict({"ends": pa.array([ends.as_py()], pa.binary()), "flow": pa.array([np.add.reduceat(given.value[of], at).tobytes()], pa.binary())})
+
+    return run
+
+
+def _ppr_vector(edges: DataFrame, nodes: DataFrame, damping: float, rounds: int) -> DataFrame:
+    """Nodes (node, degree, reset) are numbered in order of a hash that tells all of them apart. Edges are written once,
+    as numbers by blocks of their ends; a round sums over them with the scores as one vector, without a shuffle."""
+    spark: SparkSession = edges.sparkSession
+    for salt in range(64):
+        hashed = lambda c: F.xxhash64(F.lit(salt), F.col(c).cast("string"))  # noqa: B023, E731
+        t = nodes.select(hashed("node").alias("h"), F.col("degree").cast("int"), "reset").toArrow()
+        h = t["h"].to_numpy()
+        order = np.argsort(h)
+        h = h[order]
+        if len(h) < 2 or (h[1:] != h[:-1]).all():
+            break
+    else:
+        raise ValueError("nodes are not distinct")
+    degree, r = t["degree"].to_numpy()[order], t["reset"].to_numpy()[order]
+    del t, order
+    numbers = spark.sparkContext.broadcast(h)
+    n, blocks = len(h), int(degree.sum(dtype="i8") // BLOCK_EDGES) + 1
+    del h
+    dealt = edges.select(hashed("src").alias("s"), hashed("dst").alias("d")).mapInArrow(_dealt(numbers, -(-n // blocks)), "block int, src binary, dst binary")
+    e = _write(dealt.repartition(blocks, "block").groupBy("block").applyInArrow(_block, "ends binary, starts binary, src binary"), "ppr-edges")
+    dead, p = degree == 0, r.copy()
+    for _ in range(rounds):
+        given = spark.sparkContext.broadcast(p / np.maximum(degree, 1))
+        flow = np.zeros(n)
+        for row in e.mapInArrow(_flows(given), "ends binary, flow binary").toArrow().to_batches():
+            for ends, x in zip(row["ends"], row["flow"]):
+                flow[np.frombuffer(ends.as_buffer(), "<i4")] += np.frombuffer(x.as_buffer())
+        p = (1 - damping) * r + damping * (flow + p[dead].sum() * r)
+        given.destroy()
+    scores = spark.sparkContext.broadcast(p)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"node": b["node"], "score": pa.array(scores.value[np.searchsorted(numbers.value, b["h"].to_numpy())])})
+
+    return nodes.select(F.col("node").cast("string").alias("node"), hashed("node").alias("h")).mapInArrow(run, "node string, score double")
+
+
+def pagerank(edges: DataFrame, reset: DataFrame, damping: float = 0.5, rounds: int = 20, small_edges: int = SMALL_EDGES, vector_nodes: int = VECTOR_NODES) -> DataFrame:
     """(node, score): multi-edges count, a dead end's mass goes to the reset vector. Up to ``small_edges`` edges one
-    Arrow task does it; beyond that, joins and sums whose lineage is cut in the shared folder."""
+    Arrow task does it; up to ``vector_nodes`` nodes tasks sum over blocks of edges with the scores as one vector;
+    beyond that, joins and sums whose lineage is cut in the shared folder."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).union(reset.select("node")).distinct()
     r = nodes.join(reset, "node", "left").fillna({"reset": 0.0})
     if edges.limit(small_edges + 1).count() <= small_edges:
@@ -121,7 +227,12 @@ def pagerank(edges: DataFrame, reset: DataFrame, damping: float = 0.5, rounds: i
     spark: SparkSession = edges.sparkSession
     shared(spark)
     # read in every round
-    r = r.checkpoint()
+    no = lambda df, c: df.select(F.col(c).alias("node"), F.lit(0).alias("d"), F.lit(0.0).alias("reset"))
+    every = no(edges, "src").withColumn("d", F.lit(1)).union(no(edges, "dst")).union(reset.select("node", F.lit(0), F.coalesce(F.col("reset").cast("double"), F.lit(0.0))))
+    counted = _write(every.groupBy("node").agg(F.sum("d").alias("degree"), F.sum("reset").alias("reset")), "ppr-nodes")
+    if counted.count() <= vector_nodes:
+        return _ppr_vector(edges, counted, damping, rounds)
+    r = counted.select("node", "reset")
     both = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
     e = both.select("src", "dst", (F.col("m") / F.sum("m").over(_by("src"))).alias("w")).checkpoint()
     dead = r.join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti").select("node").checkpoint()

@@ -2,10 +2,13 @@
 
 import datetime
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 
+from marlstone.operators import graph as G
 from marlstone.plans import registry
+from marlstone.sources.scratch import shared
 
 
 def run(spark, name, sf):
@@ -44,3 +47,16 @@ def test_evidence_files_hold_a_slides_paths_once(spark, tmp_path):
     assert tuple(got) == (1180, 59, 1180 * (2000 * 12 - 1))  # 28 MB
     assert spark.read.parquet(str(out)).where("slide_id = 59 AND n_paths + length(paths) > 0").isEmpty()
     assert sum(f.stat().st_size for f in out.iterdir()) < 3_000_000
+
+
+def test_pagerank_writes_edges_once_as_numbers(spark, monkeypatch):
+    edges = spark.range(60_000).selectExpr("concat('source ', id % 4999) AS src", "concat('end ', id * id % 5003) AS dst")
+    reset = spark.createDataFrame([("source 1", 0.25), ("source 2", 0.75)], "node string, reset double")
+    want = {r.node: r.score for r in G.pagerank(edges, reset, rounds=2).collect()}
+    size = lambda: sum(f.stat().st_size for f in Path(shared(spark).removeprefix("file:")).rglob("*") if f.is_file())
+    before = size()
+    monkeypatch.setattr(G, "HELD_EDGES", 7_000, raising=False)
+    monkeypatch.setattr(G, "BLOCK_EDGES", 20_000, raising=False)
+    got = {r.node: r.score for r in G.pagerank(edges, reset, rounds=2, small_edges=0).collect()}
+    assert size() - before < 1_500_000
+    assert got == pytest.approx(want)
